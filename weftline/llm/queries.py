@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, mixing, packing, secret_scan, simhash
+from weftline.llm import langid, media, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, topk
 from weftline.llm.tables import table
 
 
@@ -15,6 +15,15 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.pictures(table(spark, sf_dir, "documents"))
+    return media.tiles(made, "doc_id", F.col("media"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,13 +41,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "predicted", "confidence", "accepted")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.of_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op4_best_fit_packing, op5_secret_scan, op6_simhash_dedup, op7_language_id, language_id_pages)}
+    named = (op1_source_mixing, op2_media_tiles, op3_token_counts, op4_best_fit_packing, op5_secret_scan, op6_simhash_dedup, op7_language_id, op8_exact_top_k, op9_quality_classifier, op10_sharding, language_id_pages)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.ORACLE_SQL, "op6_simhash_dedup": simhash.ORACLE_SQL}
+    return {"op1_source_mixing": mixing.ORACLE_SQL, "op6_simhash_dedup": simhash.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
