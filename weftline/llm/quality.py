@@ -48,8 +48,9 @@ class Features:
         if len(self.buckets) > _CACHE:
             self.buckets.clear()
         known = self.buckets
-        for w in counts.keys() - known.keys():
-            known[w] = zlib.crc32(w.encode()) % _WORDS
+        for w in counts:
+            if w not in known:
+                known[w] = zlib.crc32(w.encode()) % _WORDS
         index = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
         value = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
         norm = math.sqrt(float(value @ value))
