@@ -5,8 +5,8 @@ token budget over the tokens it has, and each document is emitted floor(rate)
 times plus once more where a number drawn from its id is below the fraction.
 
 One pass counts; its result is one row per source. The second pass emits, without
-a shuffle of any text: the rates come in by a join that Spark broadcasts where
-the measured size of that side allows.
+a shuffle of any text: the rates are broadcast, unless there are so many sources
+that their measured number forbids it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import fresh
-from weftline.llm.tables import unit_interval
+from weftline.llm.tables import join_measured, unit_interval
 from weftline.plans.settle import settle
 
 SEED = 17
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
     three names gets them replaced."""
     k, tokens, rate, n, copy = fresh(docs.columns, "mix_source", "mix_tokens", "mix_rate", "mix_n", "mix_copy")
     rates = settle(source_rates(docs, weights, budget, source_col, text_col)).select(F.col("source").alias(k), F.col("rate").alias(rate))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col(k)), "inner")
+    joined = join_measured(docs, rates, F.col(source_col).eqNullSafe(F.col(k)), "inner")
     whole = F.floor(F.col(rate))
     extra = (unit_interval(seed, F.col(id_col)) < F.col(rate) - whole).cast("bigint")
     out = joined.withColumn(n, whole + extra).where(F.col(n) > 0)

@@ -44,3 +44,16 @@ def spread(df: DataFrame, rows: int, *keys: Column | str, per_task: int = ROWS_P
     """Hash-partition ``df`` by ``keys`` into as many partitions as its ``rows`` need."""
     width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
     return df.repartition(width, *keys)
+
+
+#: Rows that a side may have to be broadcast: some ten megabytes of keys and numbers.
+BROADCAST_ROWS = 200_000
+
+
+def join_measured(large: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
+    """``large`` joined with ``small``, which is counted first (pass it settled) and
+    broadcast where it has few rows, so that ``large`` isn't shuffled; with more rows
+    both sides are shuffled by the key."""
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return large.join(small, on, how)
