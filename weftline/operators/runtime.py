@@ -76,11 +76,9 @@ def file_of(frames: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     return frames.join(direct.unionByName(unique), "url", "left")
 
 
-def _last(order: list[Column], by: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-
-
-_INNERMOST = [F.col("end_line") - F.col("start_line"), F.col("start_line").desc(), F.col("seq"), F.col("id")]
+def _innermost() -> Column:
+    """Rank of a frame's enclosing nodes: smallest span, later start, load order."""
+    return F.row_number().over(Window.partitionBy("frame").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "seq", "id"))
 
 
 def resolve_frames(frames: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,9 +97,9 @@ def resolve_frames(frames: DataFrame, nodes: DataFrame) -> DataFrame:
     named = asked.join(spans.where(F.col("kind").isin(*NAMED_KINDS)), (F.col("file_path") == F.col("fp")) & (F.col("wanted") == F.col("node_name"))).dropDuplicates(["frame", "id"])
     counts = named.groupBy("frame").agg(F.count("*").alias("n"), F.min("id").alias("only"))
     around = (F.col("line") >= 1) & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    among = named.where(around).withColumn("r", _last(_INNERMOST, ["frame"])).where("r = 1").select("frame", F.col("id").alias("among"))
+    among = named.where(around).withColumn("r", _innermost()).where("r = 1").select("frame", F.col("id").alias("among"))
     unnamed = placed.join(counts, "frame", "left_anti")
-    ranged = unnamed.join(spans, F.col("file_path") == F.col("fp")).where(around).withColumn("r", _last(_INNERMOST, ["frame"])).where("r = 1").select("frame", F.col("id").alias("ranged"))
+    ranged = unnamed.join(spans, F.col("file_path") == F.col("fp")).where(around).withColumn("r", _innermost()).where("r = 1").select("frame", F.col("id").alias("ranged"))
     joined = frames.join(counts, "frame", "left").join(among, "frame", "left").join(ranged, "frame", "left")
     node = F.when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, F.col("among")).otherwise(F.col("ranged"))
     via = F.when(F.col("file_path").isNull(), "no-file").when(F.col("n") == 1, "name").when(F.col("n") > 1, F.when(F.col("among").isNotNull(), "name").otherwise("ambiguous")).otherwise(F.when(F.col("ranged").isNotNull(), "range").otherwise("no-node"))
