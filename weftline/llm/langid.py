@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import fresh
-from weftline.llm.tables import unit_interval
+from weftline.llm.tables import join_measured, unit_interval
 from weftline.plans.settle import settle
 
 MAX_TRAIN = 1500
@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared
     suffixes = settle(suffixes.select(F.col("suffix").alias(sk), likely.alias(sp)))
 
     joined = base.withColumn(ll, loglik(F.col(text_col).cast("string")))
-    joined = joined.join(hosts, F.col(hst) == F.col(hk), "left").join(suffixes, F.col(sfx) == F.col(sk), "left")
+    joined = join_measured(joined, hosts, F.col(hst) == F.col(hk), "left")
+    joined = join_measured(joined, suffixes, F.col(sfx) == F.col(sk), "left")
     known = F.array(*[F.lit(x) for x in model.languages]) if n else F.array().cast("array<string>")
     score = []
     for i in range(n):
