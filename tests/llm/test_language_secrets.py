@@ -29,7 +29,8 @@ def test_languages_of_held_out_text(spark, two):
 
 def test_evidence_beside_the_text(spark, two):
     model = langid.train(two)
-    docs = two.union(documents(spark, [(900, "la", "de", "en.example"), (901, "la", None, "en.example"), (902, "la", None, "de.example")]))
+    # the letter occurs alone in neither language
+    docs = two.union(documents(spark, [(900, "b", "de", "en.example"), (901, "b", None, "en.example"), (902, "b", None, "de.example")]))
     found = {r["doc_id"]: r["predicted"] for r in langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).where("doc_id >= 900").collect()}
     assert found[901] == "en" and found[902] == "de"
     suffix = F.when(F.col("source") == "de.example", "de").otherwise("com")

@@ -11,7 +11,9 @@ A further hypothesis, ``und``, spreads its likelihood evenly over letter trigram
 text of an unknown language, and noise, go to it.
 
 The trigram models are trained on at most about ``MAX_TRAIN`` documents of each
-declared language, drawn by a hash of their id. Everything else covers all rows.
+declared language, drawn by a hash of their id. A document's whole text is counted
+and weighs as ``MAX_WEIGHT`` trigrams at most, so that one very long text doesn't
+make the model of a language. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from weftline.llm.tables import join_measured, unit_interval
 from weftline.plans.settle import settle
 
 MAX_TRAIN = 1500
+MAX_WEIGHT = 4000
 SEED = 3
 MIN_CONFIDENCE = 0.5
 UNKNOWN = "und"
@@ -94,13 +97,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decla
         by: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(trigrams(text), minlength=_BUCKETS)
+                codes = trigrams(text)
+                found = np.bincount(codes, minlength=_BUCKETS) * min(1.0, MAX_WEIGHT / max(1, len(codes)))
                 by[lang] = by[lang] + found if lang in by else found
         for lang, counts in by.items():
             codes = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(counts[codes])], ["lang", "code", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for lang, part in rows.groupby("lang"):
         counts[lang] = np.bincount(part["code"], part["n"], _BUCKETS)
