@@ -40,8 +40,8 @@ TREES, DEPTH, LEAST_LEAF, SEED = 24, 9, 3, 5
 #: (detector, pattern); group 1 is the candidate.
 DETECTORS = (
     ("private-key", re.compile(r"(-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,24}PRIVATE KEY-----)")),
-    ("assignment", re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret|account)[_\- ]?key)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>(){}\[\]|]{8,})")),
-    ("long-run", re.compile(r"(?<![A-Za-z0-9+/_=\-])((?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2})")),
+    ("assignment", re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|key)s?\d{0,3}(?:[_\-][a-z0-9]{1,24}){0,4}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>(){}\[\]|]{8,})")),
+    ("long-run", re.compile(r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2})")),
 )
 #: A text without any of these has no candidate; checked first as it is quick.
 _ASSIGNED = re.compile(r"(?i)pass|pwd|secret|token|credential|key")
