@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import bench, cluster, connectivity, cost, hotspots, onehop, report, runtime
 from weftline.plans import projection as P
-from weftline.plans.model import EDGE_COLUMNS, EDGE_SCHEMA, NODE_COLUMNS, USE_KINDS, Graph
+from weftline.plans.model import EDGE_COLUMNS, NODE_COLUMNS, USE_KINDS, Graph
 from weftline.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,8 +400,11 @@ def profile_url_paths(spark, sf_dir):
 # ---- loading
 
 
-_RAW = """SELECT l_orderkey * 10 + l_linenumber AS seq, concat('O', l_orderkey % 500) AS src, concat('P', l_partkey % 300) AS dst, CASE WHEN l_returnflag = 'R' THEN 'READS' ELSE 'CALLS' END AS kind,
+_RAW = """SELECT l_orderkey * 10 + l_linenumber AS seq, concat('O', l_orderkey) AS src, concat('P', l_partkey) AS dst, CASE WHEN l_returnflag = 'R' THEN 'READS' ELSE 'CALLS' END AS kind,
 concat('{{"line":', l_linenumber, ',"key":', l_orderkey, '}}') AS metadata FROM {lineitem}"""
+_ENDS = "SELECT concat('O', o_orderkey) AS id FROM {orders} UNION ALL SELECT concat('P', p_partkey) FROM {part}"
+#: Lines of orders before the second date are stored, those since the first are loaded: the stored side grows with the table, and what lies between is merged.
+_LOADED_SINCE, _STORED_UNTIL = "1997-01-01", "1999-01-01"
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,27 +421,31 @@ def edge_counting(spark, sf_dir):
     return store.count_edges(raw).drop("seq")
 
 
-@query(f"WITH raw AS ({_raw_text()}), ids AS (SELECT concat('O', k) AS id FROM range(400) t(k) UNION ALL SELECT concat('P', k) FROM range(250) t(k)) SELECT DISTINCT src, dst, kind FROM raw WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
+@query(f"WITH raw AS ({_raw_text()}), ids AS ({P.text(_ENDS)}) SELECT DISTINCT src, dst, kind FROM raw WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
 def edge_upsert(spark, sf_dir):
-    new = _raw(spark, sf_dir).select(*EDGE_COLUMNS)
-    return store.upsert_edges(spark.createDataFrame([], EDGE_SCHEMA), new, _some_ids(spark)).select("src", "dst", "kind")
+    raw, ids = _raw(spark, sf_dir).select(*EDGE_COLUMNS), P.rows(spark, sf_dir, _ENDS)
+    dated = P.frames(spark, sf_dir)["orders"].select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("src"), F.col("o_orderdate").cast("date").alias("day"))
+    early = dated.where(F.col("day") < F.lit(_STORED_UNTIL).cast("date"))
+    # lines of unknown or undated orders are loaded, too
+    before = dated.where(F.col("day") < F.lit(_LOADED_SINCE).cast("date"))
+    stored = store.anchored(raw.join(early, "src", "left_semi").select(*EDGE_COLUMNS), ids)
+    new = raw.join(before, "src", "left_anti").select(*EDGE_COLUMNS)
+    return store.upsert_edges(stored, new, ids).select("src", "dst", "kind")
 
 
-def _some_ids(spark: SparkSession) -> DataFrame:
-    return spark.range(400).selectExpr("concat('O', id) AS id").unionByName(spark.range(250).selectExpr("concat('P', id) AS id"))
-
-
-@query(f"WITH raw AS ({_raw_text()}), ids AS (SELECT concat('O', k) AS id FROM range(400) t(k) UNION ALL SELECT concat('P', k) FROM range(250) t(k)) SELECT (SELECT count(*) FROM ids) AS nodes, count(*) AS edges FROM raw WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
+@query(f"WITH raw AS ({_raw_text()}), ids AS ({P.text(_ENDS)}) SELECT (SELECT count(*) FROM ids) AS nodes, count(*) AS edges FROM raw WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
 def dangling_edges(spark, sf_dir):
-    return store.load_counts(_some_ids(spark), _raw(spark, sf_dir))
+    return store.load_counts(P.rows(spark, sf_dir, _ENDS), _raw(spark, sf_dir))
 
 
 @query("""SELECT concat('U', user_id) AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS name FROM events GROUP BY user_id""")
 def node_upsert(spark, sf_dir):
     events = P.frames(spark, sf_dir)["events"]
     raw = events.select(F.col("event_id").alias("seq"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("id"), F.lit("Function").alias("kind"), F.col("event_type").alias("name"), F.lit("e").alias("file_path"), F.lit(False).alias("exported"), F.lit(0).cast("bigint").alias("start_line"), F.lit(0).cast("bigint").alias("end_line"), F.lit("{}").alias("metadata"))
-    half = raw.where("seq < 500").select(*NODE_COLUMNS)
-    return store.upsert_nodes(store.dedupe_nodes(half), raw.select(*NODE_COLUMNS)).select("id", "seq", "name")
+    # the earlier half is stored, the later one loaded over it
+    raw = raw.crossJoin(F.broadcast(events.agg(F.expr("(min(event_id) + max(event_id)) div 2").alias("middle"))))
+    stored, new = (raw.where(part).select(*NODE_COLUMNS) for part in ("seq <= middle", "seq > middle"))
+    return store.upsert_nodes(store.dedupe_nodes(stored), new).select("id", "seq", "name")
 
 
 # ---- runs
