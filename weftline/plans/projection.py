@@ -45,8 +45,8 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_s
 UNION ALL
 SELECT concat('S', l_suppkey), concat('P', l_partkey), 'CALLS', count(*) FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
-#: Handoff: each customer's first order is followed, in order of time, by another
-#: customer's; one edge each, with cycles.
+#: Handoff: each order is followed, in order of time, by another customer's or one's own;
+#: customers call their followers as often as that happens.
 HANDOFF_NODES = """
 SELECT concat('C', c_custkey) AS id, 'Function' AS kind, c_name AS name, concat('nation/', c_nationkey) AS file_path, true AS exported,
        c_custkey AS start_line, spent AS self_ms, n AS samples
@@ -55,11 +55,9 @@ FROM {customer} LEFT JOIN (
 ) bought ON c_custkey = o_custkey
 """
 HANDOFF_EDGES = """
-SELECT concat('C', o_custkey) AS src, concat('C', follower) AS dst, 'CALLS' AS kind, CAST(1 AS BIGINT) AS calls FROM (
-  SELECT o_custkey, follower, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM (
-    SELECT o_custkey, o_orderdate, o_orderkey, lead(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey) AS follower FROM {orders}
-  ) followed
-) firsts WHERE k = 1 AND follower IS NOT NULL
+SELECT concat('C', o_custkey) AS src, concat('C', follower) AS dst, 'CALLS' AS kind, count(*) AS calls FROM (
+  SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey) AS follower FROM {orders}
+) followed WHERE follower IS NOT NULL GROUP BY o_custkey, follower
 """
 #: Likeness: unordered pairs of vectors whose cosine is high, tied by it.
 LIKENESS_COSINE = 0.35
