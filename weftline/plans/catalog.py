@@ -509,7 +509,7 @@ def cpm_quality(spark, sf_dir):
 
 @query()
 def leiden(spark, sf_dir):
-    return cluster.detect(_ties(spark, sf_dir), starts=2)
+    return cluster.detect(_ties(spark, sf_dir))
 
 
 _WEIGHTED = "SELECT src, dst, sum(w) AS weight FROM (SELECT src, dst, CASE kind WHEN 'CALLS' THEN 3.0 * calls ELSE 0.5 * calls END AS w FROM edges) GROUP BY src, dst"
