@@ -134,3 +134,15 @@ def test_length_ratio_keeps_unlike_lengths_apart(spark):
 @pytest.mark.parametrize("n", [0, 1, 64, 65, 10**9])
 def test_prefix_grows_with_the_table(n):
     assert 0 <= simhash.prefix_for(n) <= 32
+
+
+@pytest.mark.parametrize("n", [1, 10_000, 216_000, 13_000_000, 10**10])
+def test_recall_at_the_budget_at_every_size(n):
+    prefix = simhash.prefix_for(n)
+    tables = simhash.tables_for(prefix)
+    assert 1 - (1 - simhash.chance(prefix, simhash.MAX_BITS)) ** tables >= 0.9
+    heads = [set(p[:prefix].tolist()) for p in simhash.permutations(tables)]
+    rng = np.random.default_rng(3)
+    for bits in (17, 18, 19, 20):
+        found = sum(any(not head & set(rng_bits) for head in heads) for rng_bits in (rng.permutation(128)[:bits].tolist() for _ in range(1500)))
+        assert found / 1500 > 0.88, bits

@@ -12,7 +12,8 @@ at depth ``prefix`` (about log2 of the number of fingerprints, less six), and th
 subtrie below each such node is joined with itself: pairs of nodes go down
 together, 16 levels at a step, carrying the number of bits that differ so far,
 and a pair that exceeds the budget is dropped with everything below it. The
-number of copies follows from the prefix, so recall is the same at every size;
+number of copies follows from the prefix, so that a pair at the budget is found with
+probability 0.9 or more, and one 14 bits apart with 0.98 or more, at every size;
 ``tables_for`` has the formula.
 
 Only fingerprints move through the shuffles, never texts.
@@ -37,8 +38,9 @@ from weftline.plans.settle import settle
 BITS = 128
 MAX_BITS = 20
 MIN_LENGTH_RATIO = 0.75
-#: The copies of the trie find a pair this far apart with probability RECALL or more.
-TYPICAL_BITS, RECALL, LEAST_TABLES = 14, 0.98, 16
+#: The copies of the trie find a pair this far apart with probability RECALL or more,
+#: and a pair at the budget with BUDGET_RECALL or more.
+TYPICAL_BITS, RECALL, BUDGET_RECALL, LEAST_TABLES = 14, 0.98, 0.9, 16
 WORD = re.compile(r"[^\W_]+")
 _LEVELS = 8  # of 16 bits each
 _CACHE_WORDS = 400_000
@@ -137,11 +139,18 @@ def chance(prefix: int, bits: int) -> float:
     return p
 
 
-def tables_for(prefix: int) -> int:
+def tables_for(prefix: int, max_bits: int = MAX_BITS) -> int:
     """Copies of the trie, so that a pair TYPICAL_BITS apart shares the prefix in
-    one of them with probability RECALL; LEAST_TABLES at least."""
-    p = chance(prefix, TYPICAL_BITS)
-    return LEAST_TABLES if p >= 1 else max(LEAST_TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - p)))
+    one of them with probability RECALL, and a pair ``max_bits`` apart with
+    BUDGET_RECALL; LEAST_TABLES at least."""
+    tables = LEAST_TABLES
+    for bits, recall in ((TYPICAL_BITS, RECALL), (max_bits, BUDGET_RECALL)):
+        p = chance(prefix, bits)
+        if p <= 0:
+            raise ValueError(f"pairs {bits} bits apart can't share {prefix} of {BITS} bits")
+        if p < 1:
+            tables = max(tables, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    return tables
 
 
 def permutations(tables: int, seed: int = 7) -> list[np.ndarray]:
@@ -269,7 +278,7 @@ def near_edges(prints: DataFrame, max_bits: int = MAX_BITS, min_length_ratio: fl
     near-duplicate pairs. ``prints`` must hold each fingerprint once per length."""
     n = prints.count()
     prefix = prefix_for(n)
-    tables = tables_for(prefix)
+    tables = tables_for(prefix, max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = whole_partitions(batches)
