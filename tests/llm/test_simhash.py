@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.docs import ENGLISH, documents, empty, odd, rows, with_extra
 from weftline.llm import simhash
@@ -62,51 +63,99 @@ def test_groups_match_brute_force(spark):
     assert {tuple(r) for r in found.collect()} == brute_groups(texts)
 
 
+def close_pairs(hi, lo, words, max_bits, ratio):
+    hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+    far = np.bitwise_count(hi[:, None] ^ hi).astype(int) + np.bitwise_count(lo[:, None] ^ lo)
+    return np.argwhere(np.triu((far <= max_bits) & (np.minimum(words[:, None], words) >= ratio * np.maximum(words[:, None], words)), 1))
+
+
+def plain_roots(hi, lo, words, max_bits, ratio):
+    plain = simhash.Forest(len(hi))
+    pairs = close_pairs(hi, lo, words, max_bits, ratio)
+    plain.join(pairs[:, 0], pairs[:, 1])
+    return plain.root
+
+
+def ring_roots(hi, lo, words, max_bits, ratio):
+    forest = simhash.Forest(len(hi))
+    for start, (half, shift, size) in enumerate(simhash.parts_of(max_bits)):
+        bucket = (((hi, lo)[half].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << size) - 1)).astype(np.int64)
+        root = simhash.link(bucket, np.full(len(hi), start), np.ones(len(hi), np.int8), hi, lo, words, max_bits, ratio)
+        forest.join(np.arange(len(hi)), root)
+    return forest.root
+
+
+def planted(rng, groups, size, most):
+    """Fingerprints in chains whose links differ in up to ``most`` bits."""
+    rows = []
+    for _ in range(groups):
+        bits = rng.integers(0, 2, 128, dtype=np.uint8)
+        for _ in range(size):
+            bits = bits.copy()
+            bits[rng.permutation(128)[: rng.integers(0, most + 1)]] ^= 1
+            rows.append(np.packbits(bits))
+    halves = np.stack(rows).view(">i8").astype(np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), rng.integers(50, 80, len(rows)).astype(np.int32)
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 5, 12, 20, 25])
+def test_ring_of_tries_is_exact(max_bits):
+    rng = np.random.default_rng(max_bits)
+    hi, lo, words = planted(rng, 60, 8, max_bits + 6)
+    assert (ring_roots(hi, lo, words, max_bits, 0.8) == plain_roots(hi, lo, words, max_bits, 0.8)).all()
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**16 - 1), st.integers(0, 3)), max_size=25), st.integers(0, 20))
-def test_trie_join_finds_exactly_the_close_pairs(items, budget):
-    bucket = np.array([b for b, _, _ in items], np.int64)
-    prints = np.zeros((len(items), 8), np.uint16)
-    for k, (_, value, at) in enumerate(items):
-        prints[k, at * 2] = value
-    forest, plain = simhash.Forest(len(items)), simhash.Forest(len(items))
-    for a, b in simhash.trie_join(bucket, prints, np.ones(len(items), np.int32), budget):
-        assert (np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= budget).all() and (bucket[a] == bucket[b]).all()
-        forest.join(a, b)
-    for a in range(len(items)):
-        for b in range(a):
-            if bucket[a] == bucket[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= budget:
-                plain.join(np.array([a]), np.array([b]))
-    assert (forest.root == plain.root).all()
-
-
-def test_trie_join_splits_large_groups(monkeypatch):
+@given(st.integers(0, 2**32), st.integers(0, 24))
+def test_any_pair_within_the_budget_has_a_chain(seed, max_bits):
+    rng = np.random.default_rng(seed)
+    parts = simhash.parts_of(max_bits)
+    assert sum(p[2] for p in parts) == 128 and all(s + n <= 64 for _, s, n in parts)
+    hi, lo, words = planted(rng, 1, 2, 0)
+    flips = np.zeros(128, np.uint8)
+    flips[rng.permutation(128)[:max_bits]] = 1
+    other = np.packbits(flips).view(">i8").astype(np.int64)
+    hi[1], lo[1] = hi[0] ^ other[0], lo[0] ^ other[1]
+    assert (ring_roots(hi, lo, np.ones(2, np.int32), max_bits, 0.5) == 0).all()
+
+
+def test_large_groups_are_split(monkeypatch):
     monkeypatch.setattr(simhash, "_PAIRS", 64)
     rng = np.random.default_rng(1)
-    prints = np.zeros((300, 8), np.uint16)
-    prints[:, 7] = rng.integers(0, 2**16, 300)
-    pairs = {tuple(sorted(p)) for a, b in simhash.trie_join(np.zeros(300, np.int64), prints, np.ones(300, np.int32), 5) for p in zip(a.tolist(), b.tolist())}
-    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if int(prints[a, 7] ^ prints[b, 7]).bit_count() <= 5 and prints[a, 7] != prints[b, 7]}
-    assert want <= pairs
-
-
-def test_recall_of_the_split_trie():
-    """Pairs up to the budget, in a trie split as deeply as for a quarter million."""
-    prefix = simhash.prefix_for(250_000)
-    orders = [p[:prefix] for p in simhash.permutations(simhash.tables_for(prefix))]
-    rng = np.random.default_rng(2)
-    hits = {}
-    for bits in (8, 14, 20):
-        found = 0
-        for _ in range(600):
-            differ = set(rng.permutation(128)[:bits].tolist())
-            found += any(not differ & set(o.tolist()) for o in orders)
-        hits[bits] = found / 600
-    assert hits[8] > 0.99 and hits[14] > 0.97 and hits[20] > 0.85
-    assert all(sorted(p.tolist()) == list(range(128)) for p in simhash.permutations(5))
-    for n in (1, 10**3, 10**7, 10**10):
-        p = simhash.prefix_for(n)
-        assert 1 - (1 - simhash.chance(p, simhash.TYPICAL_BITS)) ** simhash.tables_for(p) >= simhash.RECALL
+    hi, lo, words = planted(rng, 3, 150, 9)
+    assert (ring_roots(hi, lo, words, 20, 0.9) == plain_roots(hi, lo, words, 20, 0.9)).all()
+
+
+@pytest.mark.parametrize("most", [1 << 19, 8, 1])
+def test_every_depth_of_the_buckets_is_exact(spark, monkeypatch, most):
+    """Also where buckets overflow, so that nodes of two and three parts are spread."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
+    monkeypatch.setattr(simhash.depth_for, "__defaults__", (most,))
+    rng = np.random.default_rng(4)
+    hi, lo, words = planted(rng, 50, 6, 24)
+    hi[100:200] = hi[0] ^ (rng.integers(0, 2**20, 100) & rng.integers(0, 2**20, 100))  # a bucket that is hot
+    prints = spark.createDataFrame(list(zip(range(len(hi)), hi.tolist(), lo.tolist(), words.tolist())), "id bigint, hi bigint, lo bigint, n_words int").dropDuplicates(["hi", "lo", "n_words"])
+    kept = np.array(sorted(r["id"] for r in prints.select("id").collect()))
+    found = simhash.Forest(len(hi))
+    edges = simhash.near_edges(prints, 20, 0.75).collect()
+    found.join(np.array([e["x"] for e in edges]), np.array([e["y"] for e in edges]))
+    want = plain_roots(hi[kept], lo[kept], words[kept], 20, 0.75)
+    assert (found.root[kept] == kept[want]).all() and (want != np.arange(len(kept))).sum() > 50
+
+
+def test_depth_follows_the_largest_bucket():
+    assert [simhash.depth_for(n) for n in (0, simhash.BUCKET_ROWS, simhash.BUCKET_ROWS + 1, simhash.BUCKET_ROWS * 65, 10**15)] == [1, 1, 2, 3, 3]
+
+
+def test_ids_of_another_type_and_columns_without_an_order(spark):
+    texts = corpus(3, 20)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in texts])
+    named = docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    want = {(f"d{a:05d}", f"d{b:05d}") for a, b in brute_groups(texts)}
+    assert {tuple(r) for r in simhash.near_duplicates(named).collect()} == want
+    mapped = named.unionByName(named.where("doc_id = 'd00000'")).withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    kept = simhash.drop_near_duplicates(mapped)
+    assert kept.columns == mapped.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted({f"d{i:05d}" for i, _ in texts} - {a for a, _ in want})
 
 
 def test_thousands_of_copies(spark):
@@ -129,20 +178,3 @@ def test_odd_documents(spark):
 def test_length_ratio_keeps_unlike_lengths_apart(spark):
     docs = documents(spark, [(1, "alpha beta gamma delta", "en", "a"), (2, "alpha beta gamma delta " * 9, "en", "a"), (3, "alpha beta gamma delta", "en", "a")])
     assert [tuple(r) for r in simhash.near_duplicates(docs).collect()] == [(3, 1)]
-
-
-@pytest.mark.parametrize("n", [0, 1, 64, 65, 10**9])
-def test_prefix_grows_with_the_table(n):
-    assert 0 <= simhash.prefix_for(n) <= 32
-
-
-@pytest.mark.parametrize("n", [1, 10_000, 216_000, 13_000_000, 10**10])
-def test_recall_at_the_budget_at_every_size(n):
-    prefix = simhash.prefix_for(n)
-    tables = simhash.tables_for(prefix)
-    assert 1 - (1 - simhash.chance(prefix, simhash.MAX_BITS)) ** tables >= 0.9
-    heads = [set(p[:prefix].tolist()) for p in simhash.permutations(tables)]
-    rng = np.random.default_rng(3)
-    for bits in (17, 18, 19, 20):
-        found = sum(any(not head & set(rng_bits) for head in heads) for rng_bits in (rng.permutation(128)[:bits].tolist() for _ in range(1500)))
-        assert found / 1500 > 0.88, bits
