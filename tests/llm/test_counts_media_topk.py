@@ -131,12 +131,21 @@ def brute_top(vectors, k):
 @pytest.mark.parametrize("dims", [1, 3, 16])
 def test_nearest_is_exact(spark, monkeypatch, dims):
     monkeypatch.setattr(topk, "BLOCK", 40)
-    monkeypatch.setattr(topk, "CHUNK", 25)
+    monkeypatch.setattr(topk, "PER_TASK", 25)
+    monkeypatch.setattr(topk, "_WIDEST", 7)
     rng = np.random.default_rng(dims)
     vectors = {i: [float(x) for x in rng.integers(-6, 7, dims) / 4] for i in range(130)}
     vectors |= {200 + i: vectors[i] for i in range(8)}
     df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<float>")
     assert sorted((r[0], r[1], r[2]) for r in topk.nearest(df, 5).collect()) == brute_top(vectors, 5)
+    asked = topk.nearest(df, 5, queries=F.col("vec_id") % topk.EVERY == 0)
+    assert sorted((r[0], r[1], r[2]) for r in asked.collect()) == [x for x in brute_top(vectors, 5) if x[0] % 20 == 0]
+
+
+def test_nearest_with_ids_of_text(spark):
+    vectors = {f"v{i:03d}": [float(i % 7), float(-i % 5)] for i in range(40)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id string, embedding array<double>")
+    assert sorted((r[0], r[1], r[2]) for r in topk.nearest(df, 3).collect()) == brute_top(vectors, 3)
 
 
 def test_index_arithmetic():

@@ -14,9 +14,12 @@ whose sum is below the k-th by more than twice the bound can't be in the answer.
 The others, the boundary rows, are resolved with their exact scores. Each block
 gives its own k best, and the k best of those are the answer.
 
-Every row is a query. That is quadratic in the rows for any exact method; chunks
-of queries and blocks of rows are the two sides of a distributed product, so the
-work spreads over the cluster evenly and nothing is broadcast.
+Queries meet blocks in tasks: each has one block and at most about ``PER_TASK``
+queries. The block's rows come first, the index is built of them once and stays
+while the queries stream by in Arrow batches. So a block is indexed once for every
+``PER_TASK`` queries, the work spreads over the cluster evenly, nothing is broadcast,
+and a task needs no more memory than one index. Time grows with queries times rows,
+as for any exact method without assumptions on the vectors.
 """
 
 from __future__ import annotations
@@ -24,22 +27,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.settle import settle
 
 K = 10
 BITS, WEIGHT_BITS = 7, 6
-BLOCK, CHUNK = 16_384, 1_024
+BLOCK, PER_TASK = 16_384, 2_048
+#: Partitions that the tasks are dealt to, at most.
+_WIDEST = 20_000
+#: The registered query asks for every row whose id is divisible by this.
+EVERY = 20
 
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 scored AS (
   SELECT q.vec_id AS query_id, d.vec_id AS neighbour_id, list_inner_product(q.e, d.e) AS s
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour_id) AS rank FROM scored
 )
@@ -153,7 +159,7 @@ class BitSlicedIndex:
                 same = same & ~slices[j]
         return np.flatnonzero(np.unpackbits((more | same).view(np.uint8), bitorder="little")[: self.n])
 
-    def search(self, query: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int, without: object = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k rows of largest inner product with ``query``, by score
         and then id, the row ``without`` left out."""
         query = query.astype(np.float64)
@@ -163,57 +169,67 @@ class BitSlicedIndex:
         slices = self.sums(weights)
         bound = self.kth(slices, wanted) - int(np.ceil(2 * error / unit)) - 1
         rows = self.at_least(slices, bound)
-        scores = exact_scores(query, self.rows[rows])
-        ids = self.ids[rows]
         if without is not None:
-            scores, ids = scores[ids != without], ids[ids != without]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
-
-
-def _grouped(vectors: DataFrame, rows: int, per: int, name: str) -> DataFrame:
-    """(name_ids binary, name_rows binary): the vectors in groups of about ``per``."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        return pd.DataFrame({f"{name}_ids": [group["id"].to_numpy(np.int64).tobytes()], f"{name}_rows": [np.stack(group["v"].to_list()).astype(np.float64).tobytes()]})
-
-    groups = max(1, -(-rows // per))
-    keyed = vectors.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    return settle(keyed.repartition(groups, "g").groupBy("g").applyInPandas(run, f"{name}_ids binary, {name}_rows binary"))
+            rows = rows[self.ids[rows] != without]
+        scores = exact_scores(query, self.rows[rows])
+        # rows lie in the order of their ids
+        best = np.lexsort((rows, -scores))[:k]
+        return self.ids[rows[best]], scores[best]
 
 
-def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id bigint, neighbour_id bigint, rank int, score double): for every vector
-    the ``k`` others of largest inner product, exactly; equal scores by id.
+def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(query_id, neighbour_id, rank int, score double): for every vector that
+    ``queries`` (a condition on ``vectors``; all of them by default) names, the ``k``
+    others of largest inner product, exactly; equal scores by id.
 
     Rows with a null id, a null vector, a null, NaN or infinite component, or another
     length than most, neither ask nor answer (of lengths equally frequent the longest
     is used). Rows that repeat an id count once, the one of largest vector in Spark's
-    order. With fewer than k others there are fewer rows; an empty table gives an
-    empty result. Other columns are ignored."""
+    order, and ask if one of them does. Ids may be of any type that has an order. With
+    fewer than k others there are fewer rows; an empty table gives an empty result.
+    Other columns are ignored."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    clean = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").where(~bad & (F.size("v") > 0))
-    clean = clean.groupBy("id").agg(F.max("v").alias("v"))
-    clean = settle(clean)
-    lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dims = lengths["d"] if lengths else 1
-    rows = lengths["count"] if lengths else 0
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    clean = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), asks.alias("asks")).where("id IS NOT NULL AND v IS NOT NULL").where(~bad & (F.size("v") > 0))
+    clean = settle(clean.groupBy("id").agg(F.max("v").alias("v"), F.max("asks").alias("asks")))
+    lengths = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).orderBy(F.desc("n"), F.desc("d")).first()
+    dims, rows, asked = tuple(lengths) if lengths else (1, 0, 0)
     fit = clean.where(F.size("v") == dims)
-    pairs = _grouped(fit, rows, CHUNK, "q").crossJoin(_grouped(fit, rows, BLOCK, "d"))
+    blocks, splits = max(1, -(-rows // BLOCK)), max(1, -(-asked // PER_TASK))
+    width = min(blocks * splits, _WIDEST)
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    task = lambda block, split: (block * splits + split).alias("task")
+    data = fit.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("g"), F.explode(numbers(splits)).alias("s")).select(task(F.col("g"), F.col("s")), F.lit(0).alias("role"), "id", "v")
+    ask = fit.where("asks").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(splits)).alias("s"), F.explode(numbers(blocks)).alias("g")).select(task(F.col("g"), F.col("s")), F.lit(1).alias("role"), "id", "v")
+    dealt = data.unionByName(ask).repartitionById(width, (F.col("task") % width).cast("int")).sortWithinPartitions("task", "role", "id")
+    kind = fit.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
         for batch in batches:
-            for q_ids, q_rows, d_ids, d_rows in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                index = BitSlicedIndex(np.frombuffer(d_ids, np.int64), np.frombuffer(d_rows).reshape(-1, dims))
-                q_ids = np.frombuffer(q_ids, np.int64)
-                found = [index.search(q, k, int(i)) for i, q in zip(q_ids, np.frombuffer(q_rows).reshape(-1, dims))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                    ["query_id", "neighbour_id", "score"],
-                )
-
-    found = pairs.mapInArrow(run, "query_id bigint, neighbour_id bigint, score double")
+            if not batch.num_rows:
+                continue
+            tasks, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            column = batch.column(2)
+            ids = column.to_numpy() if pa.types.is_integer(column.type) else np.array(column.to_pylist())
+            v = batch.column(3).flatten().to_numpy().reshape(-1, dims)
+            cuts = np.flatnonzero((np.diff(tasks) != 0) | (np.diff(roles) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tasks)]):
+                if tasks[a] != now:
+                    now, held, index = tasks[a], [], None
+                if roles[a] == 0:
+                    held.append((ids[a:b], v[a:b]))
+                    continue
+                if index is None and held:
+                    index, held = BitSlicedIndex(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])), []
+                if index is not None:
+                    found = [index.search(q, k, i) for i, q in zip(ids[a:b], v[a:b])]
+                    who = np.repeat(np.arange(a, b), [len(f[0]) for f in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [column.take(pa.array(who)), pa.array(np.concatenate([f[0] for f in found]).tolist(), column.type), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "neighbour_id", "score"]
+                    )
+
+    found = dealt.mapInArrow(run, f"query_id {kind}, neighbour_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "neighbour_id", "rank", F.round("score", 6).alias("score"))
