@@ -11,16 +11,19 @@ A further hypothesis, ``und``, spreads its likelihood evenly over letter trigram
 text of an unknown language, and noise, go to it.
 
 The trigram models are trained on at most about ``MAX_TRAIN`` documents of each
-declared language, drawn by a hash of their id. A document's whole text is counted
-and weighs as ``MAX_WEIGHT`` trigrams at most, so that one very long text doesn't
-make the model of a language. Everything else covers all rows.
+declared language, drawn by a hash of their id. A document's whole text is counted;
+it weighs as the square root of its length, whatever that is, so that one very long
+text doesn't make the model of a language. Everything else covers all rows.
+
+Texts are scored once where they needn't be in the result: what is said of them is
+written beside the columns that are wanted, and priors and fusion work on those rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,6 @@ from weftline.llm.tables import join_measured, unit_interval
 from weftline.plans.settle import settle
 
 MAX_TRAIN = 1500
-MAX_WEIGHT = 4000
 SEED = 3
 MIN_CONFIDENCE = 0.5
 UNKNOWN = "und"
@@ -46,6 +48,8 @@ _NOISE = -math.log(27**3)
 _UNKNOWN_PRIOR, _RELIABLE = 0.02, 0.9
 #: Documents that a parent's prior counts for.
 _STRENGTH = 10.0
+#: Trigrams that a document of as many weighs: the unit of the square root.
+_UNIT = 2000.0
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPACES = re.compile(rb" +")
 
@@ -85,46 +89,62 @@ def _tag(declared: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", max_train: int = MAX_TRAIN, seed: int = SEED) -> TextModel:
     """Model of the languages that ``declared_col`` names. For each about
-    ``max_train`` of its documents at most count, drawn by a hash of the id."""
+    ``max_train`` of its documents at most count, drawn by a hash of the id, a null id
+    being an empty one. Null declarations and null texts don't count; texts count
+    whole; rows that repeat count each. Without declared documents there is no
+    language. The model has 65,536 numbers for each language."""
     labelled = docs.select(_tag(F.col(declared_col)).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return TextModel({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_train / n))])
-    sample = labelled.where(F.col("text").isNotNull() & (unit_interval(seed, F.col("id")) < share[F.col("lang")])).select("lang", "text")
+    # tags have two or three letters: there are 18,252 of them at most
+    sizes = F.broadcast(settle(labelled.groupBy("lang").agg(F.count("*").alias("n"))))
+    drawn = labelled.where("text IS NOT NULL").join(sizes, "lang").where(unit_interval(seed, F.col("id")) < F.least(F.lit(1.0), max_train / F.col("n")))
+    sample = drawn.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = trigrams(text)
-                found = np.bincount(codes, minlength=_BUCKETS) * min(1.0, MAX_WEIGHT / max(1, len(codes)))
+                found = np.bincount(codes, minlength=_BUCKETS) * math.sqrt(_UNIT / max(1, len(codes)))
                 by[lang] = by[lang] + found if lang in by else found
         for lang, counts in by.items():
             codes = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(counts[codes])], ["lang", "code", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").cast("float").alias("n")).toPandas()
     counts = {}
     for lang, part in rows.groupby("lang"):
         counts[lang] = np.bincount(part["code"], part["n"], _BUCKETS)
     return TextModel(counts)
 
 
-def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, min_confidence: float = MIN_CONFIDENCE, names: tuple[str, str, str] = ("predicted", "confidence", "accepted")) -> DataFrame:
-    """``docs`` with the three ``names`` added: the language (``und`` where none
-    wins), its posterior and whether it is a known language of posterior
-    ``min_confidence`` at least.
+def _vector(pairs: list, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for at, k in pairs:
+        out[int(at)] += k
+    return out
+
+
+def _pairs(language: str, number: str) -> Column:
+    """The rows of a group as pairs (language, number); of languages there are few."""
+    return F.collect_list(F.array(F.col(language).cast("double"), F.col(number).cast("double")))
+
+
+def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, min_confidence: float = MIN_CONFIDENCE, names: tuple[str, str, str] = ("predicted", "confidence", "accepted"), carry: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with the three ``names`` added:
+    the language (``und`` where none wins), its posterior and whether it is a known
+    language of posterior ``min_confidence`` at least. A name that ``carry`` has is
+    lengthened. With ``text_col`` among ``carry`` texts are scored twice.
 
     A null or empty text, or one without letters, is ``und`` with confidence 1 and
     not accepted. Null declarations, hosts and suffixes, and declarations of a
     language without a model, are no evidence. Texts count whole. Rows that repeat
     get the same answer each; ties go to the language first in the alphabet. An
-    empty table stays empty. All columns of ``docs`` are kept; if one has one of
-    ``names``, pass others."""
-    n = len(model.languages)
-    text, dec, hst, sfx, ll, hp, sp, hk, sk, post = fresh([*docs.columns, *names], "t_", "d_", "h_", "s_", "ll_", "hp_", "sp_", "hk_", "sk_", "post_")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    empty table stays empty."""
+    n, spark = len(model.languages), docs.sparkSession
+    carry = list(docs.columns if carry is None else carry)
+    names = tuple(fresh(carry, *names))
+    dec, hst, sfx, ll, hp, sp, hk, sk, best, post = fresh([*carry, *names], "d_", "h_", "s_", "ll_", "hp_", "sp_", "hk_", "sk_", "best_", "post_")
+    shared = spark.sparkContext.broadcast(model)
     nothing = F.lit(None).cast("string")
     host = nothing if host is None else F.lower(host.cast("string"))
     suffix = nothing if suffix is None else F.lower(suffix.cast("string"))
@@ -133,64 +153,83 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared
     def loglik(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.loglik(t if isinstance(t, str) else None) for t in texts], dtype=object)
 
-    @F.pandas_udf("int")
-    def best_of(texts: pd.Series) -> pd.Series:
-        found = (shared.value.loglik(t if isinstance(t, str) else None) for t in texts)
-        return pd.Series([-1 if x is None else int(x.argmax()) for x in found], dtype="int32")
-
-    base = docs.withColumn(dec, nothing if declared is None else _tag(declared)).withColumn(hst, host).withColumn(sfx, suffix)
-    said = base.select(best_of(F.col(text_col).cast("string")).alias("best"), F.col(hst).alias("host"), F.col(sfx).alias("suffix"))
+    tag = nothing if declared is None else _tag(declared)
+    scored = docs.select(*[F.col(f"`{c}`") for c in carry], tag.alias(dec), host.alias(hst), suffix.alias(sfx), loglik(F.col(text_col).cast("string")).alias(ll))
+    if text_col not in carry:
+        scored = settle(scored)
     # what the text alone says, by host and suffix: small beside the texts
-    counts = settle(said.where(f"best >= 0 AND best < {n}").groupBy("host", "suffix", "best").agg(F.count("*").alias("k")))
-    vector = F.array(*[F.sum(F.when(F.col("best") == i, F.col("k")).otherwise(0)).cast("double") for i in range(n)]) if n else F.array().cast("array<double>")
-    whole = counts.agg(vector.alias("c")).first()["c"] if n else []
-    total = sum(x or 0.0 for x in whole)
-    top = [((x or 0.0) + 1.0) / (total + n) for x in whole]
-    prior = F.array(*[F.lit(x) for x in top]) if n else F.array().cast("array<double>")
-    add = lambda own, parent: F.zip_with(own, parent, lambda c, p: (c + p * _STRENGTH) / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + _STRENGTH))
-    hosts = counts.where("host IS NOT NULL").groupBy("host").agg(vector.alias("c")).withColumn("domain", F.substring_index("host", ".", -2))
-    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(n)]).alias("dc") if n else F.first("c").alias("dc")).withColumn("dp", add(F.col("dc"), prior))
-    hosts = settle(hosts.join(domains, "domain").select(F.col("host").alias(hk), add(F.col("c"), F.col("dp")).alias(hp)))
-    # P(suffix | language) up to a factor that all languages share
-    suffixes = counts.where("suffix IS NOT NULL").groupBy("suffix").agg(vector.alias("c"))
-    likely = F.array(*[(F.col("c")[i] + top[i]) / ((whole[i] or 0.0) + 1.0) for i in range(n)]) if n else F.array().cast("array<double>")
-    suffixes = settle(suffixes.select(F.col("suffix").alias(sk), likely.alias(sp)))
-
-    joined = base.withColumn(ll, loglik(F.col(text_col).cast("string")))
-    joined = join_measured(joined, hosts, F.col(hst) == F.col(hk), "left")
-    joined = join_measured(joined, suffixes, F.col(sfx) == F.col(sk), "left")
-    known = F.array(*[F.lit(x) for x in model.languages]) if n else F.array().cast("array<string>")
-    score = []
-    for i in range(n):
-        d = F.when(~F.coalesce(F.array_contains(known, F.col(dec)), F.lit(False)), 0.0).when(F.col(dec) == model.languages[i], math.log(_RELIABLE)).otherwise(math.log((1 - _RELIABLE) / max(1, n - 1)))
-        score.append(F.col(ll)[i] + d + F.log(F.coalesce(F.col(hp)[i], F.lit(top[i]))) + F.coalesce(F.log(F.col(sp)[i]), F.lit(0.0)) + math.log(1 - _UNKNOWN_PRIOR))
-    # ``und`` says nothing of suffix or declaration: it gets the mean language's factor there
-    mean_suffix = F.coalesce(F.log(F.aggregate(F.col(sp), F.lit(0.0), lambda a, b: a + b) / max(1, n)), F.lit(0.0))
-    none = F.when(~F.coalesce(F.array_contains(known, F.col(dec)), F.lit(False)), 0.0).otherwise(-math.log(max(1, n)))
-    score.append(F.col(ll)[n] + mean_suffix + none + math.log(_UNKNOWN_PRIOR))
-    scored = joined.withColumn(post, F.array(*score))
-    most = F.array_max(post)
-    winner = (F.array_position(post, most) - 1).cast("int")
-    mass = F.aggregate(F.transform(F.col(post), lambda x: F.exp(x - most)), F.lit(0.0), lambda a, b: a + b)
-    labels = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
-    predicted, confidence, accepted = names
-    out = scored.withColumn(predicted, F.when(F.col(ll).isNull(), UNKNOWN).otherwise(F.element_at(labels, winner + 1)))
-    out = out.withColumn(confidence, F.when(F.col(ll).isNull(), 1.0).otherwise(F.round(1.0 / mass, 6)))
-    out = out.withColumn(accepted, (F.col(predicted) != UNKNOWN) & (F.col(confidence) >= min_confidence))
-    return out.select(*docs.columns, *names)
-
-
-def of_documents(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Documents, whose ``lang`` is the declaration and whose ``source`` is the host,
-    with (predicted, confidence, accepted) added under names that don't clash."""
-    names = fresh(docs.columns, "predicted", "confidence", "accepted")
-    return identify(docs, train(docs, max_train=max_train), declared=F.col("lang"), host=F.col("source"), names=tuple(names))
+    first = (F.array_position(ll, F.array_max(ll)) - 1).cast("int")
+    said = scored.where(F.col(ll).isNotNull()).select(first.alias(best), hst, sfx).where(F.col(best) < n)
+    counts = settle(said.groupBy(F.col(hst).alias("host"), F.col(sfx).alias("suffix"), F.col(best).alias("best")).agg(F.count("*").alias("k")))
+    whole = _vector([(r["best"], r["k"]) for r in counts.groupBy("best").agg(F.sum("k").alias("k")).collect()], n)
+    top = (whole + 1.0) / (whole.sum() + n) if n else whole
+    smoothed = lambda own, above: (own + above * _STRENGTH) / (own.sum() + _STRENGTH)
+
+    @F.pandas_udf("array<double>")
+    def prior(own: pd.Series, domain: pd.Series) -> pd.Series:
+        return pd.Series([smoothed(_vector(a, n), smoothed(_vector(b, n), top)) for a, b in zip(own, domain)], dtype=object)
+
+    @F.pandas_udf("array<double>")
+    def likely(own: pd.Series) -> pd.Series:
+        """P(suffix | language) up to a factor that all languages share."""
+        return pd.Series([(_vector(a, n) + top) / (whole + 1.0) for a in own], dtype=object)
+
+    by_host = counts.where("host IS NOT NULL").groupBy("host", "best").agg(F.sum("k").alias("k")).withColumn("domain", F.substring_index("host", ".", -2))
+    domains = by_host.groupBy("domain", "best").agg(F.sum("k").alias("k")).groupBy("domain").agg(_pairs("best", "k").alias("dc"))
+    hosts = by_host.groupBy("host", "domain").agg(_pairs("best", "k").alias("c")).join(domains, "domain")
+    hosts = settle(hosts.select(F.col("host").alias(hk), prior("c", "dc").alias(hp)))
+    by_suffix = counts.where("suffix IS NOT NULL").groupBy("suffix", "best").agg(F.sum("k").alias("k"))
+    suffixes = settle(by_suffix.groupBy("suffix").agg(_pairs("best", "k").alias("c")).select(F.col("suffix").alias(sk), likely("c").alias(sp)))
+    place = {x: i for i, x in enumerate(model.languages)}
+    labels = np.array([*model.languages, UNKNOWN], dtype=object)
+
+    @F.pandas_udf("predicted string, confidence double")
+    def fused(texts: pd.Series, tags: pd.Series, by_host: pd.Series, by_suffix: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"predicted": [UNKNOWN] * len(texts), "confidence": np.ones(len(texts))})
+        rows = np.flatnonzero(texts.notna())
+        if not len(rows):
+            return out
+        score = np.stack(texts.to_numpy()[rows]).astype(float)
+        score[:, :n] += math.log(1 - _UNKNOWN_PRIOR)
+        score[:, n] += math.log(_UNKNOWN_PRIOR)
+        score[:, :n] += np.log(np.stack([top if x is None else x for x in by_host.to_numpy()[rows]])) if n else 0.0
+        for k, (tag, suffix) in enumerate(zip(tags.to_numpy()[rows], by_suffix.to_numpy()[rows])):
+            if tag in place:
+                score[k, :n] += math.log((1 - _RELIABLE) / max(1, n - 1))
+                score[k, place[tag]] += math.log(_RELIABLE) - math.log((1 - _RELIABLE) / max(1, n - 1))
+                # ``und`` says nothing of suffix or declaration: it gets the mean language's factor there
+                score[k, n] -= math.log(max(1, n))
+            if suffix is not None and n:
+                score[k, :n] += np.log(suffix)
+                score[k, n] += math.log(float(np.sum(suffix)) / n)
+        won = score.argmax(1)
+        out.loc[rows, "predicted"] = labels[won]
+        out.loc[rows, "confidence"] = np.round(1 / np.exp(score - score.max(1, keepdims=True)).sum(1), 6)
+        return out
+
+    joined = join_measured(scored, hosts, F.col(hst) == F.col(hk), "left")
+    joined = join_measured(joined, suffixes, F.col(sfx) == F.col(sk), "left").withColumn(post, fused(ll, dec, hp, sp))
+    predicted, confidence = F.col(f"{post}.predicted"), F.col(f"{post}.confidence")
+    accepted = (predicted != UNKNOWN) & (confidence >= min_confidence)
+    return joined.select(*[F.col(f"`{c}`") for c in carry], predicted.alias(names[0]), confidence.alias(names[1]), accepted.alias(names[2]))
+
+
+def of_documents(docs: DataFrame, max_train: int = MAX_TRAIN, carry: Sequence[str] | None = None) -> DataFrame:
+    """Documents, whose ``lang`` is the declaration and whose ``source`` is the host:
+    their columns ``carry`` (all by default) with (predicted, confidence, accepted)
+    added last, under names that don't clash. Null, empty, long and repeated texts,
+    ties and an empty table are as ``identify`` has them; a null id is kept."""
+    return identify(docs, train(docs, max_train=max_train), declared=F.col("lang"), host=F.col("source"), carry=carry)
 
 
 def of_pages(pages: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """(page_id, declared, host, suffix, predicted, confidence, accepted) of web
     pages: text without scripts, styles, comments and tags; the ``lang`` attribute of
-    the html element; the top-level domain, with a two-letter first path segment."""
+    the html element; the top-level domain, with a two-letter first path segment.
+
+    A null or empty page is ``und`` and not accepted; a null address has neither host
+    nor suffix; pages count whole; rows that repeat are answered each; an empty table
+    gives an empty result; other columns are ignored."""
     html = F.col("html").cast("string")
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)
@@ -200,11 +239,22 @@ def of_pages(pages: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
         F.nullif(host, F.lit("")).alias("host"), F.concat_ws("/", F.substring_index(host, ".", -1), F.nullif(first, F.lit(""))).alias("suffix"),
     )
     model = train(flat, "page_id", declared_col="declared", max_train=max_train)
-    found = identify(flat, model, declared=F.col("declared"), host=F.col("host"), suffix=F.nullif(F.col("suffix"), F.lit("")))
-    return found.drop("text", "url")
+    found = identify(flat, model, declared=F.col("declared"), host=F.col("host"), suffix=F.nullif(F.col("suffix"), F.lit("")), carry=["page_id", "declared", "host", "suffix"])
+    return found
 
 
 def keep_identified(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The documents whose language is accepted, with their own columns."""
-    found = of_documents(docs, max_train)
-    return found.where(F.col(found.columns[-1])).select(*docs.columns)
+    """The documents whose language is accepted, with their own columns, of whatever
+    names. Those of null, empty or letterless text go; a null id, tag or source is no
+    reason to go. Rows that repeat stay or go together. Texts count whole; an empty
+    table stays empty.
+
+    Texts are scored once. Those that go are few: their keys (96 bits of a hash of
+    text, tag and source, on which alone the decision depends) are taken out of the
+    documents, by broadcast where they are few bytes."""
+    one, two, gone_one, gone_two = fresh(docs.columns, "key_a", "key_b", "gone_a", "gone_b")
+    parts = [F.col("text"), F.col("lang"), F.col("source")]
+    keyed = docs.withColumn(one, F.xxhash64(*parts)).withColumn(two, F.hash(*parts))
+    found = of_documents(keyed, max_train, carry=[one, two])
+    gone = settle(found.where(~F.col(found.columns[-1])).select(F.col(one).alias(gone_one), F.col(two).alias(gone_two)).distinct())
+    return join_measured(keyed, gone, (F.col(one) == F.col(gone_one)) & (F.col(two) == F.col(gone_two)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

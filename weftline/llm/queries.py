@@ -37,8 +37,8 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.of_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("lang").alias("declared"), "predicted", "confidence", "accepted")
+    found = langid.of_documents(table(spark, sf_dir, "documents"), carry=["doc_id", "lang"])
+    return found.withColumnRenamed("lang", "declared")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
