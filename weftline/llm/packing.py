@@ -115,7 +115,7 @@ def evolve(seed: tuple[int, ...], sizes: np.ndarray, population: list[np.ndarray
 _GENES = "shard bigint, island int, rank int, sizes binary, bins binary"
 
 
-def _epoch(frame: DataFrame, epoch: int, capacity: int, generations: int, population: int, seed: int) -> DataFrame:
+def _epoch(frame: DataFrame, epoch: int, capacity: int, generations: int, population: int, seed: int, width: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(group["shard"].iloc[0]), int(group["island"].iloc[0])
         group = group.sort_values("rank", kind="stable")
@@ -124,19 +124,21 @@ def _epoch(frame: DataFrame, epoch: int, capacity: int, generations: int, popula
         best = evolve((seed, epoch, shard, island), sizes, given, capacity, generations, population)
         return pd.DataFrame({"shard": shard, "island": island, "rank": range(len(best)), "sizes": [group["sizes"].iloc[0]] * len(best), "bins": [b.astype(np.int32).tobytes() for b in best]})
 
-    return frame.groupBy("shard", "island").applyInPandas(run, _GENES)
+    # a few megabytes of genes are hours of work: adaptive execution must not put them into one task
+    return frame.repartition(width, "shard", "island").groupBy("shard", "island").applyInPandas(run, _GENES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", islands: int = ISLANDS, population: int = POPULATION, epochs: int = EPOCHS, generations: int = GENERATIONS, seed: int = SEED) -> DataFrame:
-    """(bin string, doc_id bigint, copy bigint, piece bigint, start bigint, n_tokens bigint):
+    """(bin string, doc_id, copy bigint, piece bigint, start bigint, n_tokens bigint):
     every piece of every document once, no bin above ``capacity`` tokens.
 
     Tokens are separated by white space; ``start`` counts them from 0. Rows that
     repeat an id are told apart by ``copy``, counted from 1 in order of their
     length; rows of null id likewise. Null texts, empty texts and texts without a
-    token have nothing to pack and no row. A text of any length is packed whole.
-    An empty table gives an empty result; other columns are ignored."""
-    counted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), n_tokens(text_col).alias("total")).where("total > 0")
+    token have nothing to pack and no row. A text of any length is packed whole. Of
+    packings equally good the one of larger bytes is taken. Ids may be of any type that
+    has an order. An empty table gives an empty result; other columns are ignored."""
+    counted = docs.select(F.col(id_col).alias("doc_id"), n_tokens(text_col).alias("total")).where("total > 0")
     # copies of an id are numbered without gathering them: equal lengths are counted first
     grouped = counted.groupBy("doc_id", "total").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("total").rowsBetween(Window.unboundedPreceding, -1))
@@ -156,8 +158,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
 
     to_bytes = F.pandas_udf(sizes, "binary")
     genes = listed.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(0).alias("rank"), to_bytes(F.col("pieces.n_tokens")).alias("sizes"), F.lit(None).cast("binary").alias("bins"))
+    width = min(shards * islands, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * islands // 8))
     for epoch in range(epochs):
-        evolved = settle(_epoch(genes, epoch, capacity, generations, population, seed))
+        evolved = settle(_epoch(genes, epoch, capacity, generations, population, seed, width))
         elite = evolved.where("rank = 0").withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")).withColumn("rank", F.lit(population))
         genes = evolved.unionByName(elite)
 
