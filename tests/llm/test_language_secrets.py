@@ -148,5 +148,5 @@ def test_secrets_right_after_a_sign(spark, before, secret):
 def test_harmless_values_right_after_a_sign():
     forest = secret_scan._own_forest(secret_scan.VOCABULARY)
     texts = [f"at commit={TOKEN} now", f"with sha1={TOKEN} now", "id=123e4567-e89b-12d3-a456-426614174000 now", "https://x/y?utm_campaign=spring-sale-newsletter-2024 now", "the monkey: bananasplit now"]
-    hits = secret_scan._scored(texts, ["src0"] * len(texts), forest, secret_scan.VOCABULARY)
+    hits = secret_scan._scored(texts, ["src0"] * len(texts), forest, secret_scan.dictionary())
     assert {h[0] for h in hits} == set(range(len(texts))) and all(h[4] < secret_scan.THRESHOLD for h in hits)

@@ -2,7 +2,7 @@
 written as NPY tiles with difference hashes.
 
 Decoding covers P1 to P6 (8 and 16 bit samples, comments) and uncompressed BMP of
-1, 4, 8, 24 and 32 bits in either row order. Resizing averages the exact area that
+1, 4, 8, 24 and 32 bits in either row order, those of 32 bits also with colour masks. Resizing averages the exact area that
 each output pixel covers: the integral image of a picture is linear within a
 pixel, so its value at fractional edges is an interpolation, and a resize is two
 small gathers and differences whatever the factor.
@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.names import fresh
 
@@ -82,6 +83,17 @@ def _bmp(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, rows * stride, offset).reshape(rows, stride)
     if height > 0:
         raw = raw[::-1]
+    if packed == 3:
+        masks = struct.unpack_from("<III", data, 54)
+        if offset < 66 or 0 in masks:
+            raise ValueError("bad BMP colour masks")
+        values = np.ascontiguousarray(raw[:, : width * 4]).view("<u4").astype(np.int64)
+        out = np.empty((rows, width, 3), np.uint8)
+        for k, mask in enumerate(masks):
+            shift = (mask & -mask).bit_length() - 1
+            top = mask >> shift
+            out[:, :, k] = (((values & mask) >> shift) * 255 + top // 2) // top
+        return out
     if depth >= 24:
         return raw[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
     colours = struct.unpack_from("<I", data, 46)[0] or 1 << depth
@@ -174,8 +186,8 @@ def tiles(df: DataFrame, id_col: str, media: Column, tile: int = TILE) -> DataFr
             image = decode(data)
             small = np.rint(resize(image, tile, tile)).astype(np.uint8)
             return image.shape[1], image.shape[0], image.shape[2], npy(small), difference_hash(image), None
-        except (ValueError, struct.error, IndexError) as why:
-            return None, None, None, None, None, str(why)[:200]
+        except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as why:
+            return None, None, None, None, None, str(why)[:200] or type(why).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
@@ -206,10 +218,15 @@ def picture_of(text: str | None, number: int | None, width: int = 64) -> bytes |
 
 
 def pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media binary): every document's whole text as an image."""
+    """(doc_id, media binary): every document's whole text as an image, of any length. A
+    null or empty text has null media; a null id is kept, and ids may be of any type.
+    Repeated rows have an image each; an empty table gives an empty result; other
+    columns are ignored."""
 
     @F.pandas_udf("binary")
     def made(texts: pd.Series, numbers: pd.Series) -> pd.Series:
         return pd.Series([picture_of(t if isinstance(t, str) else None, None if pd.isna(n) else int(n)) for t, n in zip(texts, numbers)], dtype=object)
 
-    return docs.select(F.col(id_col).alias("doc_id"), made(F.col(text_col).cast("string"), F.col(id_col).cast("bigint")).alias("media"))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    number = F.col(id_col).cast("bigint") if whole else F.xxhash64(id_col)
+    return docs.select(F.col(id_col).alias("doc_id"), made(F.col(text_col).cast("string"), number).alias("media"))

@@ -76,9 +76,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
 
     The draw depends on seed and id alone, so rows that repeat an id are drawn
     alike; a null id counts as an empty string. Null and empty texts have no
-    tokens and take the rate of their source. An empty table stays empty. Extra
-    columns are carried along; with ``detail`` a table that has columns of these
-    three names gets them replaced."""
+    tokens and take the rate of their source; texts of any length are counted whole. An
+    empty table stays empty. Extra columns are carried along; where a table has columns
+    of these three names, the new ones' names are lengthened."""
     k, tokens, rate, n, copy = fresh(docs.columns, "mix_source", "mix_tokens", "mix_rate", "mix_n", "mix_copy")
     rates = settle(source_rates(docs, weights, budget, source_col, text_col)).select(F.col("source").alias(k), F.col("rate").alias(rate))
     joined = join_measured(docs, rates, F.col(source_col).eqNullSafe(F.col(k)), "inner")
@@ -90,5 +90,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))))
     if not detail:
         return out.select(*docs.columns)
-    own = {"n_tokens", "rate", "copy"}
-    return out.select(*[c for c in docs.columns if c.lower() not in own], F.col(tokens).alias("n_tokens"), F.round(F.col(rate), 6).alias("rate"), F.col(copy).alias("copy"))
+    named = fresh(docs.columns, "n_tokens", "rate", "copy")
+    return out.select(*docs.columns, F.col(tokens).alias(named[0]), F.round(F.col(rate), 6).alias(named[1]), F.col(copy).alias(named[2]))

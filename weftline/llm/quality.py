@@ -30,7 +30,7 @@ _WORDS, _META = 1 << 14, 1 << 8
 STATISTICS = ("length", "word length", "distinct", "symbols", "exclamation", "capitals", "digits", "bars", "repeated lines", "line length", "doubled words", "sentence ends", "markup", "common")
 SIZE = _WORDS + len(STATISTICS) + _META
 _WORD = re.compile(r"[^\W_]+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 class Features:
@@ -40,7 +40,7 @@ class Features:
         self.buckets: dict[str, int] = {}
 
     def of(self, text: str | None, meta: tuple[str | None, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """(indices, values). A null text counts as an empty one; null metadata are a
+        """(indices, values), each index once. A null text counts as an empty one; null metadata are a
         value of their own."""
         text = text or ""
         words = _WORD.findall(text.lower())
@@ -68,10 +68,10 @@ class Features:
             sum(a == b for a, b in zip(words, words[1:])) / m if m else 0.0, min(1.0, int(codes[46] + codes[63]) / max(1, m) * 3), min(1.0, int(codes[60] + codes[123]) / size * 20), max(counts.values()) / m if m else 0.0,
         ]
         tags = [_WORDS + len(STATISTICS) + zlib.crc32(f"{k}={v}".encode()) % _META for k, v in enumerate(meta)]
-        return (
-            np.concatenate([index, np.arange(_WORDS, _WORDS + len(STATISTICS)), np.array(tags, np.int64)]).astype(np.int32),
-            np.concatenate([value / norm if norm else value, np.array(structure), np.full(len(tags), 0.3)]).astype(np.float32),
-        )
+        # words, and metadata, that share a bucket are one feature of their values' sum
+        index, place = np.unique(np.concatenate([index, np.arange(_WORDS, _WORDS + len(STATISTICS)), np.array(tags, np.int64)]), return_inverse=True)
+        value = np.bincount(place, np.concatenate([value / norm if norm else value, np.array(structure), np.full(len(tags), 0.3)]), len(index))
+        return index.astype(np.int32), value.astype(np.float32)
 
 
 class Machine:
@@ -102,7 +102,6 @@ class Machine:
                 sums = x @ vi
                 margin = bias + x @ w[i] + 0.5 * (sums @ sums - np.square(x) @ np.square(vi).sum(1))
                 g = 1 / (1 + math.exp(-max(-50.0, min(50.0, margin)))) - labels[at]
-                # hashed words may share a bucket: their gradients add up
                 dw, dv = g * x + decay * w[i], g * (x[:, None] * sums - np.square(x)[:, None] * vi) + decay * vi
                 gb += g * g
                 bias -= rate * g / math.sqrt(gb)
@@ -120,7 +119,9 @@ def _meta_column(docs: DataFrame, meta_cols: tuple[str, ...]):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), label_col: str = "quality", max_train: int = MAX_TRAIN, seed: int = SEED) -> Machine:
     """Machine for the documents that ``labels`` names, at most about ``max_train``.
     An id with several labels has the majority's, a tie being 0; null ids and labels
-    don't count. It is fitted in one task, whose input that bound limits."""
+    don't count; null and empty texts are learnt by their statistics and metadata, and
+    texts count whole. Rows that repeat an id count each. Without labelled rows every
+    score is 1/2. It is fitted in one task, whose input that bound limits."""
     by_id = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg((F.avg(F.col(label_col).cast("double")) > 0.5).cast("double").alias("label"))
     n = by_id.count()
     share = min(1.0, max_train / max(1, n))
@@ -155,7 +156,7 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
     Null and empty texts are scored by their statistics and metadata, null metadata
     being a value of their own. Texts count whole. Repeated rows and null ids are
-    scored each. An empty table gives an empty result; other columns are ignored."""
+    scored each; a score equal to ``threshold`` is kept. An empty table gives an empty result; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ vocabulary, whose path is a parameter too.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import json
 import math
@@ -60,8 +61,12 @@ for _at, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRS
     _CLASS[[ord(c) for c in _chars]] = _at + 1
 
 
+#: Dictionary words, and the log2 probability of each letter pair.
+Known = tuple[frozenset[str], dict[str, float]]
+
+
 @functools.lru_cache(maxsize=4)
-def dictionary(path: str = VOCABULARY) -> tuple[frozenset[str], dict[str, float]]:
+def dictionary(path: str = VOCABULARY) -> Known:
     """Words of three letters or more of a public vocabulary, and the log2
     probability of each letter pair within them."""
     with open(path, encoding="utf-8") as file:
@@ -95,8 +100,8 @@ def coverage(value: str, words: frozenset[str]) -> float:
 FEATURES = ("log length", "entropy", "lower", "upper", "digit", "other", "transitions", "pair surprise", "coverage", "distinct", "longest repeat", "hex", "decimal", "uuid", "prefix", "secret word", "digest word", "sample word", "sample inside", "assigned", "quoted", "low path", "high path")
 
 
-def features(value: str, before: str, after: str, path: str | None, vocabulary: str = VOCABULARY) -> list[float]:
-    words, pairs = dictionary(vocabulary)
+def features(value: str, before: str, after: str, path: str | None, known: Known | None = None) -> list[float]:
+    words, pairs = known or dictionary()
     n = len(value)
     codes = np.frombuffer(value.encode("ascii", "replace"), np.uint8)
     classes = _CLASS[np.minimum(codes, 127)]
@@ -123,15 +128,21 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
+    starts: list[int] = []
     has_run = _RUN.search(text) is not None
     for name, pattern in DETECTORS:
         if (name == "long-run" and not has_run) or (name == "private-key" and "-----BEGIN" not in text) or (name == "assignment" and not _ASSIGNED.search(text)):
             continue
+        fresh_ones = []
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if all(b <= x or a >= y for x, y, _ in found):
-                found.append((a, b, name))
-    return sorted(found)
+            # candidates lie apart, in order: only the two around this one can overlap it
+            k = bisect.bisect_left(starts, b)
+            if k == 0 or found[k - 1][1] <= a:
+                fresh_ones.append((a, b, name))
+        found = sorted(found + fresh_ones)
+        starts = [x[0] for x in found]
+    return found
 
 
 class Forest:
@@ -241,62 +252,75 @@ def _own_forest(vocabulary: str) -> Forest:
 
 def fit_forest(findings: pd.DataFrame, vocabulary: str = VOCABULARY) -> Forest:
     """Forest for labelled ``findings``; rows of null value or label don't count."""
-    known = findings.dropna(subset=["value", "label"])
-    rows = [features(v, b or "", a or "", p, vocabulary) for v, b, a, p in zip(known["value"], known["before"], known["after"], known["path"])]
-    return Forest.train(np.array(rows, float).reshape(-1, len(FEATURES)), known["label"].to_numpy(float))
+    labelled, known = findings.dropna(subset=["value", "label"]), dictionary(vocabulary)
+    rows = [features(v, b or "", a or "", p, known) for v, b, a, p in zip(labelled["value"], labelled["before"], labelled["after"], labelled["path"])]
+    return Forest.train(np.array(rows, float).reshape(-1, len(FEATURES)), labelled["label"].to_numpy(float))
 
 
-def _scored(texts: Sequence[str | None], paths: Sequence[str | None], forest: Forest, vocabulary: str) -> list[tuple[int, int, int, str, float]]:
+def _scored(texts: Sequence[str | None], paths: Sequence[str | None], forest: Forest, known: Known) -> list[tuple[int, int, int, str, float]]:
     """(row, start, end, detector, score) of all candidates."""
     at, rows = [], []
     for i, (text, path) in enumerate(zip(texts, paths)):
         for a, b, name in candidates(text):
             at.append((i, a, b, name))
-            rows.append(features(text[a:b], text[max(0, a - _AROUND) : a], text[b : b + 12], path, vocabulary))
+            rows.append(features(text[a:b], text[max(0, a - _AROUND) : a], text[b : b + 12], path, known))
     scores = forest.scores(np.array(rows, float)) if rows else []
     return [(*x, float(s)) for x, s in zip(at, scores)]
 
 
+def _shared(docs: DataFrame, forest: Forest | None, vocabulary: str):
+    """Forest and dictionary for the executors, which need no vocabulary file; their
+    size doesn't depend on the documents."""
+    return docs.sparkSession.sparkContext.broadcast((forest or _own_forest(vocabulary), dictionary(vocabulary)))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", forest: Forest | None = None, threshold: float = THRESHOLD, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id bigint, start bigint, length bigint, detector string, score double,
+    """(doc_id, start bigint, length bigint, detector string, score double,
     is_secret boolean): every candidate, with the forest's decision.
 
     Places are counted in characters from 0. Null and empty texts have no
     candidate; texts are scanned whole, however long. A null id stays null and a
-    null path is an empty one. Repeated rows are scanned each. An empty table gives
-    an empty result; other columns are ignored. The secret itself isn't returned."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or _own_forest(vocabulary))
+    null path is an empty one; ids may be of any type. Repeated rows are scanned each.
+    A score equal to ``threshold`` is a secret. An empty table gives an empty result;
+    other columns are ignored. The secret itself isn't returned."""
+    shared = _shared(docs, forest, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            hits = _scored(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared.value, vocabulary)
+            hits = _scored(batch.column(1).to_pylist(), batch.column(2).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] - h[1] for h in hits], pa.int64()),
+                    batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] - h[1] for h in hits], pa.int64()),
                     pa.array([h[3] for h in hits], pa.string()), pa.array([round(h[4], 6) for h in hits], pa.float64()), pa.array([h[4] >= threshold for h in hits], pa.bool_()),
                 ],
                 ["doc_id", "start", "length", "detector", "score", "is_secret"],
             )
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
-    return narrow.mapInArrow(run, "doc_id bigint, start bigint, length bigint, detector string, score double, is_secret boolean")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema[0].dataType.simpleString()}, start bigint, length bigint, detector string, score double, is_secret boolean")
 
 
 def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars", mask: str = MASK, forest: Forest | None = None, threshold: float = THRESHOLD, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs``, all rows and columns, with each secret in ``text_col`` replaced by
     ``mask`` and ``length_col`` set to the new number of characters where the text
-    changed. Null and empty texts stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or _own_forest(vocabulary))
+    changed. Null and empty texts stay as they are; texts count whole, however long.
+    Repeated rows are changed alike. A score equal to ``threshold`` is a secret. An
+    empty table stays empty."""
+    shared = _shared(docs, forest, vocabulary)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, paths: pd.Series) -> pd.Series:
         out = texts.astype(object).where(texts.notna(), None).tolist()
-        hits = _scored(list(out), paths.astype(object).where(paths.notna(), None).tolist(), shared.value, vocabulary)
-        for i, a, b, _, score in reversed(hits):
+        hits = _scored(out, paths.astype(object).where(paths.notna(), None).tolist(), *shared.value)
+        pieces: dict[int, list[str]] = {}
+        ends: dict[int, int] = {}
+        for i, a, b, _, score in hits:  # by row and place
             if score >= threshold:
-                out[i] = out[i][:a] + mask + out[i][b:]
+                pieces.setdefault(i, []).extend((out[i][ends.get(i, 0) : a], mask))
+                ends[i] = b
+        for i, parts in pieces.items():
+            out[i] = "".join((*parts, out[i][ends[i] :]))
         return pd.Series(out, dtype=object)
 
     (new,) = fresh(docs.columns, "cleaned_text")

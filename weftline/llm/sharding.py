@@ -8,7 +8,8 @@ clockwise to the next shard with room.
 Keys between two points are alike but for their rank, so the walk is done on the
 counts per arc, of which there are shards * vnodes however large the table is.
 Its result is, for each arc, which ranks go where. Only the keys of arcs that
-overflow are ranked; the others need no shuffle at all.
+overflow are ranked, and keys that repeat are ranked as one, with their number; the
+others need no shuffle at all.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, VNODES, SLACK = 64, 128, 0.05
+_COPIES = 10_000
 
 
 class Ring:
     """Sorted points and the shard that owns each. Shards are any distinct names."""
 
     def __init__(self, shards: Sequence[int | str], vnodes: int = VNODES) -> None:
+        if not len(shards) or vnodes < 1:
+            raise ValueError("a ring needs a shard and a point for it")
         points = sorted((int.from_bytes(hashlib.md5(f"{s}#{v}".encode()).digest()[:8], "big") >> 1, k) for k, s in enumerate(shards) for v in range(vnodes))
         self.shards = list(shards)
         self.points = np.array([p for p, _ in points], np.int64)
@@ -39,6 +43,8 @@ class Ring:
     def walk(self, counts: np.ndarray, slack: float = SLACK) -> list[tuple[int, int, int, int, int]]:
         """(arc, first rank, last rank, shard, shards passed) from the keys per arc;
         ranks from 1, in order of hash."""
+        if not slack >= 0:
+            raise ValueError("slack must be 0 or more, or the keys have no room")
         total, n = int(counts.sum()), len(self.shards)
         limit = -(-int(np.ceil(total * (1 + slack))) // n)
         room = np.full(n, limit)
@@ -64,7 +70,8 @@ def assign(docs: DataFrame, shards: Sequence[int | str] | int = SHARDS, vnodes:
     A null key is a key like others (all nulls hash alike). Rows that repeat a key
     are placed each; where their shard is full some of them continue. An empty
     table gives an empty result; other columns are ignored, so texts of any
-    length play no part."""
+    length play no part. A negative ``slack`` and a ring without shards are
+    ValueErrors."""
     names = list(range(shards)) if isinstance(shards, int) else list(shards)
     ring = Ring(names, vnodes)
     spark = docs.sparkSession
@@ -92,6 +99,11 @@ def assign(docs: DataFrame, shards: Sequence[int | str] | int = SHARDS, vnodes:
     if not often:
         return straight
     flagged = F.broadcast(spark.createDataFrame([(a,) for a in sorted(often)], "arc int"))
-    ranked = keys.join(flagged, "arc", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("h", "doc_id")))
-    rest = ranked.join(split, "arc").where("rank BETWEEN first AND last").select("doc_id", "home", "shard", "hops")
+    # rows of one key are alike, so a hot key is a number here, not a heap of rows
+    each = keys.join(flagged, "arc", "left_semi").groupBy("arc", "h", "doc_id").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("arc").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.withColumn("upto", upto).join(split, "arc").withColumn("n", F.least("last", "upto") - F.greatest("first", F.col("upto") - F.col("n") + 1) + 1).where("n > 0")
+    # written out in pieces, as one array of all copies could be too large
+    pieces = ranked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _COPIES))))
+    rest = pieces.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_COPIES).cast("bigint"), F.col("n") - F.col("piece") * _COPIES)))).select("doc_id", "home", "shard", "hops")
     return straight.unionByName(rest)

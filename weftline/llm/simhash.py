@@ -45,7 +45,7 @@ MIN_LENGTH_RATIO = 0.75
 #: Rows of a bucket that one task should hold, and the parts that its key has at most.
 BUCKET_ROWS, _DEEPEST = 1 << 19, 3
 WORD = re.compile(r"[^\W_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 150_000
 _SINGLE_LEVELS = 4
 #: Node pairs that the join expands at once.
 _PAIRS = 1 << 19

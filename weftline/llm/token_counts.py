@@ -9,7 +9,8 @@ byte-level vocabularies have it. All single bytes are pieces, so any text has a
 count.
 
 Words are run together, one step of the automaton being a few array operations on
-all words that are long enough; words met before are looked up.
+all words that are long enough; words met before are looked up. Words of more than
+``_LONG`` bytes are too few for that and are walked one by one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from weftline.functions.names import fresh
 
 VOCABULARY = os.environ.get("WEFTLINE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _CACHED_LENGTH = 48
+_LONG = 96
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -71,9 +73,34 @@ class Automaton:
         to = np.array([x for c in children for x in c.values()], np.int32)
         order = np.argsort(keys)
         self.keys, self.to, self.fail, self.pops, self.rest = keys[order], to[order], fail, pops, rest
+        self.steps: dict[int, int] | None = None
+        self.failing: list[tuple[int, int]] = []
+
+    def walk(self, word: bytes) -> int:
+        """Pieces of one word, byte by byte."""
+        if self.steps is None:
+            self.steps = dict(zip(self.keys.tolist(), self.to.tolist()))
+            self.failing = list(zip(self.fail.tolist(), self.pops.tolist()))
+        steps, failing, state, total = self.steps, self.failing, 0, 0
+        for byte in word:
+            down = steps.get(state * 256 + byte)
+            while down is None:
+                state, popped = failing[state]
+                total += popped
+                down = steps.get(state * 256 + byte)
+            state = down
+        return total + int(self.rest[state])
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word by greedy longest match."""
+        long = [k for k, w in enumerate(words) if len(w) > _LONG]
+        if long:
+            out = np.empty(len(words), np.int64)
+            rest = np.ones(len(words), bool)
+            rest[long] = False
+            out[long] = [self.walk(words[k]) for k in long]
+            out[rest] = self.count([words[k] for k in np.flatnonzero(rest).tolist()])
+            return out
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join(words), np.uint8)
