@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; one of our own
-    only where the session names none (a local test session)."""
+    """The folder the session names in ``spark.checkpoint.dir``. A session that names
+    none gets one of our own if it runs in one process (in tests); on a cluster, where
+    a folder of one machine would be lost with it, that is a RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="weftline-")
     spark.sparkContext.setCheckpointDir(own)
     return own
