@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftline.extract.facts import facts
 from weftline.extract.project import project_files
 from weftline.plans.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
-from weftline.plans.settle import settle
+from weftline.plans.settle import numbered, settle
 
 _FACTS = (
     "file string, fact string, seq bigint, id string, kind string, name string, parent string, start_line bigint, end_line bigint, exported boolean, metadata string, syntax string, "
@@ -246,5 +246,6 @@ def build(files: DataFrame, semantic: bool = False) -> Graph:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """``seq`` in the order of ``at``: sorted by ranges, so without a single task."""
-    return settle(df.drop("seq").orderBy("at", *[c for c in ("id", "src", "dst", "kind") if c in df.columns])).withColumn("seq", F.monotonically_increasing_id()).drop("at")
+    """``seq`` in the order of ``at``."""
+    order = [F.col(c) for c in ("at", "id", "src", "dst", "kind") if c in df.columns]
+    return numbered(df.drop("seq"), *order, name="seq").drop("at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,13 @@ def _merge(text: str | None, change: str | None) -> str | None:
     return json.dumps(now | json.loads(change), ensure_ascii=False, separators=(",", ":"))
 
 
+def with_changes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """``nodes`` with the keys of ``changes`` (id, change) set in their metadata; only the
+    rows that change are parsed."""
+    changed = nodes.join(changes, "id").withColumn("metadata", merged("metadata", "change")).select(*nodes.columns)
+    return nodes.join(changes.select("id"), "id", "left_anti").select(*nodes.columns).unionByName(changed)
+
+
 def merged(metadata: str, changes: str) -> Column:
     """The JSON object of each row with the keys of ``changes`` (a JSON object, or null)
     set; other keys stay as and where they are. Text that is no object counts as {}."""

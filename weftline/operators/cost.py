@@ -113,17 +113,21 @@ def _refs(model: CostModel) -> DataFrame:
     return model.nodes.select(*REF, F.col("self").alias("self_cost"), F.col("inclusive").alias("inclusive_cost"), share.alias("share_of_total"), (F.col("size") > 1).alias("cyclic"), F.col("size").alias("component_size"))
 
 
-def cost_ranking(graph: Graph, by: str = "self-time", edges: str = "static", limit: float | None = None) -> DataFrame:
+def ranked(model: CostModel, limit: float | None = None) -> DataFrame:
     """Nodes of positive inclusive cost, costliest first."""
-    model, _, _ = cost_model(graph, by, edges)
     return _refs(model).where("inclusive_cost > 0").orderBy(F.desc("inclusive_cost"), F.collate("file_path", "UNICODE"), "start_line", "id").limit(clamp_limit(limit))
 
 
-def cost_attribution(graph: Graph, node_id: str, by: str = "self-time", edges: str = "static") -> dict[str, DataFrame]:
+def cost_ranking(graph: Graph, by: str = "self-time", edges: str = "static", limit: float | None = None) -> DataFrame:
+    """``ranked`` of the graph's cost model."""
+    model, _, _ = cost_model(graph, by, edges)
+    return ranked(model, limit)
+
+
+def attribution(model: CostModel, node_id: str) -> dict[str, DataFrame]:
     """``node`` (no row for an unknown id), ``callees`` and ``callers`` of a node with
     the amount each edge carries, its share and its count. Edges within a cycle
     carry nothing across and are left out."""
-    model, _, _ = cost_model(graph, by, edges)
     n = model.nodes
     focal = n.where(F.col("id") == node_id).select(F.col("component").alias("fc"), F.col("inclusive").alias("fi"), F.col("inbound").alias("fb"))
     order = [F.desc("amount"), F.collate("file_path", "UNICODE"), "start_line", "id"]
@@ -136,6 +140,12 @@ def cost_attribution(graph: Graph, node_id: str, by: str = "self-time", edges: s
     return {"node": _refs(model).where(F.col("id") == node_id), "callees": callees.orderBy(*order), "callers": callers.orderBy(*order)}
 
 
+def cost_attribution(graph: Graph, node_id: str, by: str = "self-time", edges: str = "static") -> dict[str, DataFrame]:
+    """``attribution`` of a node in the graph's cost model."""
+    model, _, _ = cost_model(graph, by, edges)
+    return attribution(model, node_id)
+
+
 def coverage(graph: Graph, by: str = "self-time") -> DataFrame:
     """(coverage double): matched over total of the runtime manifest, null where there is
     no manifest, it is malformed, or its total isn't positive."""

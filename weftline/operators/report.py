@@ -89,6 +89,8 @@ class Report:
     enriched: bool
     semantic: bool
     quality: float | None
+    total_self: float = 0.0
+    output_folder: str = "."
     tables: dict[str, list[dict]] = field(default_factory=dict)
     findings: list[dict] = field(default_factory=list)
 
@@ -103,9 +105,21 @@ def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
     return [r.asDict(recursive=True) for r in (df.limit(limit) if limit else df).collect()]
 
 
-def gather(graph: Graph, generated_at: str, project: str, limit: float | None = None) -> Report:
-    """The report of a graph. Only tables of ``limit`` rows and the dead exports are
-    collected."""
+def cycles_with_symbols(graph: Graph, limit: int) -> list[dict]:
+    """The ``limit`` largest call cycles, each with its members as symbols."""
+    top = _rows(call_cycles(graph), limit)
+    if not top:
+        return []
+    place = graph.spark.createDataFrame([(k, m) for k, c in enumerate(top) for m in c["members"]], "k int, id string")
+    found: dict[int, list[dict]] = {}
+    for r in _rows(graph.nodes.join(place, "id").select("k", *REF).orderBy("k", "id")):
+        found.setdefault(r.pop("k"), []).append(r)
+    return [{"size": c["size"], "symbols": found.get(k, [])} for k, c in enumerate(top)]
+
+
+def gather(graph: Graph, generated_at: str, project: str, limit: float | None = None, output_folder: str = ".") -> Report:
+    """The report of a graph. Only tables of ``limit`` rows, the symbols of as many
+    cycles, the boundary and the dead exports are collected."""
     n = clamp_report_limit(limit)
     all_ = totals(graph).first().asDict()
     hot = hotspots(graph, "self-time", n)
@@ -119,7 +133,7 @@ def gather(graph: Graph, generated_at: str, project: str, limit: float | None =
     semantic = any(k["kind"] == "CALLS" and k["count"] > 0 for k in kinds)
     tables = {
         "node_kinds": _rows(kind_counts(graph.nodes)), "edge_kinds": kinds, "callers": _rows(hotspots(graph, "callers", n).df), "blast": blast, "communities": _rows(communities(graph), n),
-        "hotspots": ranked, "cost": cost, "structure": _rows(structure_vs_runtime(graph).orderBy("role", "rank")), "cycles": _rows(call_cycles(graph), n), "boundary": _rows(boundary(graph)), "dead": dead,
+        "hotspots": ranked, "cost": cost, "structure": _rows(structure_vs_runtime(graph).orderBy("role", "rank")), "cycles": cycles_with_symbols(graph, n), "boundary": _rows(boundary(graph)), "dead": dead,
     }
     if provenance and provenance.get("baseUrl"):
         project = provenance["baseUrl"].split("://", 1)[-1].split("/", 1)[-1].strip("/") or project
@@ -143,4 +157,4 @@ def gather(graph: Graph, generated_at: str, project: str, limit: float | None =
         verdict += f" `{ranked[0]['name']}` is the hottest function" + (f" ({match['share_of_total'] * 100:.1f}% of inclusive cost)." if match else ".")
     if dead:
         verdict += f" {len(dead)} exported symbol(s) appear dead."
-    return Report(generated_at, project, n, all_, verdict, provenance, coverage(graph).first()["coverage"], hot.enriched, semantic, clustering.get("quality"), tables, findings)
+    return Report(generated_at, project, n, all_, verdict, provenance, coverage(graph).first()["coverage"], hot.enriched, semantic, clustering.get("quality"), measured_nodes(graph).agg(F.sum("self_ms")).first()[0] or 0.0, output_folder, tables, findings)

@@ -60,10 +60,12 @@ def file_of(frames: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     """``frames`` with ``file_path`` from ``url``: none for an empty or ``node:`` one; for
     a file URL or absolute path the path below ``root`` if it is known, else the one
     known path that it ends with (several give none); other paths must be known as
-    they are. ``paths``: (file_path), distinct."""
-    bare = F.regexp_replace("url", r"^file://", "")
+    they are. Only a file URL is decoded, and one that can't be has none. ``paths``:
+    (file_path), distinct."""
+    is_url = F.col("url").startswith("file://")
+    decoded = F.try_url_decode(F.regexp_replace(F.regexp_replace("url", r"^file://", ""), r"\+", "%2B"))
     absolute = F.col("url").startswith("file://") | F.col("url").startswith("/")
-    local = F.when((F.col("url") == "") | F.col("url").isNull() | F.col("url").startswith("node:"), None).otherwise(F.url_decode(F.regexp_replace(bare, r"\+", "%2B")))
+    local = F.when((F.col("url") == "") | F.col("url").isNull() | F.col("url").startswith("node:"), None).otherwise(F.when(is_url, decoded).otherwise(F.col("url")))
     below = F.when(absolute & F.col("p").startswith(root.rstrip("/") + "/"), F.substring(F.col("p"), F.lit(len(root.rstrip("/")) + 2), F.length("p")))
     urls = frames.select("url").distinct().withColumn("p", local).where("p IS NOT NULL").withColumn("absolute", absolute).withColumn("exact", F.when(absolute, below).otherwise(F.col("p")))
     known = paths.select(F.col("file_path").alias("k"))
@@ -125,7 +127,10 @@ def attribute(frames: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     joined = frames.join(found, frames["node"] == found["frame"])
     matched = joined.where(F.col("id").isNotNull()).groupBy("id").agg(F.sum("samples").alias("samples"), F.sum("self_micros").alias("self_micros"))
     label = F.when(F.coalesce("function_name", F.lit("")) == "", F.lit("(anonymous)")).otherwise(F.col("function_name"))
-    where = F.when(F.coalesce("url", F.lit("")) == "", label).otherwise(F.concat(label, F.lit(" "), F.col("url"), F.lit(":"), F.col("line").cast("string")))
+    # a file that isn't the graph's is named without its line, so that its frames are one group
+    there = F.concat(label, F.lit(" "), F.coalesce("url", F.lit("")))
+    nowhere = F.when(F.coalesce("url", F.lit("")) == "", label).otherwise(there)
+    where = F.when(F.col("via") == "no-file", nowhere).otherwise(F.concat(there, F.lit(":"), F.col("line").cast("string")))
     dropped = joined.where(F.col("id").isNull()).groupBy(F.col("via").alias("reason"), where.alias("label")).agg(F.sum("samples").alias("samples"), F.sum("self_micros").alias("self_micros"))
     return matched, dropped.orderBy(F.desc("self_micros"), F.desc("samples"), "label")
 
@@ -152,7 +157,7 @@ def enrich(graph: Graph, profile: DataFrame, source: str, root: str) -> Enriched
     matched, dropped = attribute(frames, found)
     matched = settle(matched)
     runtime = F.to_json(F.struct(F.struct(F.lit(source).alias("source"), "samples", F.col("self_micros").alias("selfMicros"), millis(F.col("self_micros")).alias("selfMs")).alias("runtime")))
-    changed = graph.nodes.join(matched.select("id", runtime.alias("change")), "id", "left").withColumn("metadata", M.merged("metadata", "change")).select(*graph.nodes.columns)
+    changed = M.with_changes(graph.nodes, matched.select("id", runtime.alias("change")))
     calls, links = call_edges(runtime_calls(tree, own), found)
     sums = frames.agg(F.sum("self_micros")).first()[0] or 0.0
     hit = matched.agg(F.sum("samples"), F.sum("self_micros")).first()

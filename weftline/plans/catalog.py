@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import bench, cluster, connectivity, cost, hotspots, onehop, report, runtime
@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_SUPPLY = f"nodes AS ({P.text(P.SUPPLY_NODES)}), edges AS ({P.text(P.SUPPLY_EDGES)})"
-_HANDOFF = f"nodes AS ({P.text(P.HANDOFF_NODES)}), edges AS ({P.text(P.HANDOFF_EDGES)})"
+_SUPPLY = f"nodes AS MATERIALIZED ({P.text(P.SUPPLY_NODES)}), edges AS MATERIALIZED ({P.text(P.SUPPLY_EDGES)})"
+_HANDOFF = f"nodes AS MATERIALIZED ({P.text(P.HANDOFF_NODES)}), edges AS MATERIALIZED ({P.text(P.HANDOFF_EDGES)})"
 _USES = ", ".join(f"'{k}'" for k in USE_KINDS)
 _REF = "n.id, n.kind, n.name, n.file_path, n.start_line"
 
@@ -97,21 +97,20 @@ def edge_kind_counts(spark, sf_dir):
     return report.kind_counts(P.supply(spark, sf_dir).edges)
 
 
-_DEAD = f"""dead AS (
-  SELECT n.* FROM nodes n WHERE exported
-    AND NOT EXISTS (SELECT 1 FROM edges u WHERE u.dst = n.id AND u.kind IN ({_USES}))
-    AND NOT EXISTS (SELECT 1 FROM edges c JOIN edges u ON u.dst = c.dst WHERE c.src = n.id AND c.kind = 'CONTAINS' AND u.kind IN ({_USES})))"""
+_DEAD = f"""used AS MATERIALIZED (SELECT DISTINCT dst AS id FROM edges WHERE kind IN ({_USES})),
+live AS (SELECT id FROM used UNION SELECT c.src FROM edges c JOIN used u ON u.id = c.dst WHERE c.kind = 'CONTAINS'),
+dead AS (SELECT n.* FROM nodes n LEFT JOIN live l ON l.id = n.id WHERE n.exported AND l.id IS NULL)"""
 
 
 @query(f"WITH {_SUPPLY}, {_DEAD} SELECT {_REF} FROM dead n")
 def dead_exports(spark, sf_dir):
-    return hotspots.dead_exports(P.supply(spark, sf_dir))
+    return hotspots.dead_exports(P.supply(spark, sf_dir, keep=True))
 
 
 @query(f"""WITH {_SUPPLY}, {_DEAD} SELECT (SELECT count(*) FROM nodes) AS symbols, (SELECT count(DISTINCT file_path) FROM nodes) AS files,
 (SELECT count(*) FROM edges) AS relationships, CAST(0 AS BIGINT) AS communities, (SELECT count(*) FROM dead) AS dead_exports, CAST(0 AS BIGINT) AS cycles""")
 def report_totals(spark, sf_dir):
-    return report.totals(P.supply(spark, sf_dir))
+    return report.totals(P.supply(spark, sf_dir, keep=True))
 
 
 def _hot(score: str, condition: str = "") -> str:
@@ -174,7 +173,7 @@ def viewer_runtime_stats(spark, sf_dir):
   UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 10)
 SELECT {_REF} FROM nodes n WHERE id IN (SELECT id FROM walk)""")
 def blast_radius(spark, sf_dir):
-    return connectivity.blast_radius(P.handoff(spark, sf_dir), "C97", 10)
+    return connectivity.blast_radius(P.handoff(spark, sf_dir, keep=True), "C97", 10)
 
 
 _CLOSURE = "closure AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closure c JOIN edges e ON c.dst = e.src)"
@@ -184,19 +183,19 @@ _CLOSURE = "closure AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FRO
 SELECT {_REF}, s.score FROM scored s JOIN nodes n ON n.id = s.id ORDER BY s.score DESC, n.file_path, n.start_line, n.id LIMIT 1000""")
 def hotspots_blast_radius(spark, sf_dir):
     # every file of this graph is nation/<number>: binary and locale order agree up to digits, so the oracle's tie-break holds
-    return hotspots.hotspots(P.handoff(spark, sf_dir), "blast-radius", 1000).df
+    return hotspots.hotspots(P.handoff(spark, sf_dir, keep=True), "blast-radius", 1000).df
 
 
 @query(f"""WITH RECURSIVE {_HANDOFF}, {_CLOSURE}, mutual AS (SELECT a.src AS id, a.dst AS other FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src)
 SELECT n.id, coalesce(least(n.id, min(m.other)), n.id) AS component FROM (SELECT DISTINCT unnest([src, dst]) AS id FROM edges) n LEFT JOIN mutual m ON m.id = n.id GROUP BY n.id""")
 def strong_components(spark, sf_dir):
-    return connectivity.strong_components(connectivity.call_pairs(P.handoff(spark, sf_dir)))
+    return connectivity.strong_components(connectivity.call_pairs(P.handoff(spark, sf_dir, keep=True)))
 
 
 @query(f"""WITH RECURSIVE {_HANDOFF}, {_CLOSURE}, mutual AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
 SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM mutual GROUP BY component HAVING count(*) > 1""")
 def call_cycles(spark, sf_dir):
-    return connectivity.call_cycles(P.handoff(spark, sf_dir)).select("component", "size", F.array_join("members", ",").alias("members"))
+    return connectivity.call_cycles(P.handoff(spark, sf_dir, keep=True)).select("component", "size", F.array_join("members", ",").alias("members"))
 
 
 _COSTS = """inbound AS (SELECT dst, CAST(sum(calls) AS DOUBLE) AS n FROM edges WHERE kind = 'CALLS' GROUP BY dst),
@@ -210,7 +209,7 @@ costs AS (SELECT * FROM part_cost UNION ALL SELECT * FROM supplier_cost UNION AL
 round(c.inclusive / (SELECT sum(self_ms) FROM nodes), 6) AS share_of_total, false AS cyclic
 FROM costs c JOIN nodes n ON n.id = c.id WHERE c.inclusive > 0 ORDER BY c.inclusive DESC, n.file_path, n.start_line, n.id LIMIT 1000""")
 def cost_ranking(spark, sf_dir):
-    ranked = cost.cost_ranking(P.supply(spark, sf_dir), limit=1000)
+    ranked = cost.cost_ranking(P.supply(spark, sf_dir, keep=True), limit=1000)
     return ranked.select(*onehop.REF, _r("self_cost", 2), _r("inclusive_cost", 2), _r("share_of_total", 6), "cyclic")
 
 
@@ -218,24 +217,24 @@ def cost_ranking(spark, sf_dir):
 round(c.inclusive * e.calls / i.n / (SELECT inclusive FROM costs WHERE id = 'S5'), 9) AS share, CAST(e.calls AS DOUBLE) AS call_count
 FROM edges e JOIN nodes n ON n.id = e.dst JOIN costs c ON c.id = e.dst JOIN inbound i ON i.dst = e.dst WHERE e.kind = 'CALLS' AND e.src = 'S5'""")
 def cost_attribution_callees(spark, sf_dir):
-    return cost.cost_attribution(P.supply(spark, sf_dir), "S5")["callees"].select(*onehop.REF, _r("amount", 6), _r("share", 9), "call_count")
+    return cost.cost_attribution(P.supply(spark, sf_dir, keep=True), "S5")["callees"].select(*onehop.REF, _r("amount", 6), _r("share", 9), "call_count")
 
 
 @query(f"""WITH {_SUPPLY}, {_COSTS} SELECT {_REF}, round((SELECT inclusive FROM costs WHERE id = 'S5') * e.calls / i.n, 2) AS amount,
 round(e.calls / i.n, 6) AS share, CAST(e.calls AS DOUBLE) AS call_count
 FROM edges e JOIN nodes n ON n.id = e.src JOIN inbound i ON i.dst = e.dst WHERE e.kind = 'CALLS' AND e.dst = 'S5'""")
 def cost_attribution_callers(spark, sf_dir):
-    return cost.cost_attribution(P.supply(spark, sf_dir), "S5")["callers"].select(*onehop.REF, _r("amount", 2), _r("share", 6), "call_count")
+    return cost.cost_attribution(P.supply(spark, sf_dir, keep=True), "S5")["callers"].select(*onehop.REF, _r("amount", 2), _r("share", 6), "call_count")
 
 
 @query()
 def cost_cyclic(spark, sf_dir):
-    return cost.cost_ranking(P.handoff(spark, sf_dir), limit=1000).select(*onehop.REF, _r("self_cost", 2), _r("inclusive_cost", 2), "cyclic")
+    return cost.cost_ranking(P.handoff(spark, sf_dir, keep=True), limit=1000).select(*onehop.REF, _r("self_cost", 2), _r("inclusive_cost", 2), "cyclic")
 
 
 def _runtime_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The supply graph with runtime calls that weigh revenue, and a manifest."""
-    g = P.supply(spark, sf_dir)
+    g = P.supply(spark, sf_dir, keep=True)
     flows = P.rows(spark, sf_dir, _REVENUE)
     flows = flows.select(F.lit(0).cast("bigint").alias("seq"), "src", "dst", F.lit("CALLS_RUNTIME").alias("kind"), F.to_json(F.struct("samples")).alias("metadata"))
     manifest = {"source": "lines", "totalSamples": 100, "matchedSamples": 80, "totalSelfMicros": 20000, "matchedSelfMicros": 15000}
@@ -270,7 +269,7 @@ items AS (
   UNION ALL SELECT {_REF}, 'hotspot', CASE WHEN b.blast <= 25 THEN 'needs-workload' ELSE 'manual' END, n.self_ms, b.blast, CASE WHEN b.blast <= 25 THEN 1 ELSE 2 END FROM hot n JOIN blasts b ON b.id = n.id)
 SELECT id, kind, name, file_path, start_line, candidate, readiness, score, blast FROM items ORDER BY r, score DESC, file_path, start_line, id LIMIT 20""")
 def campaign_worklist(spark, sf_dir):
-    return hotspots.campaign(P.supply(spark, sf_dir)).drop("metric")
+    return hotspots.campaign(P.supply(spark, sf_dir, keep=True)).drop("metric")
 
 
 # ---- report
@@ -285,14 +284,14 @@ roles AS (
     SELECT CASE WHEN coalesce(f.score, 0) <= 1 THEN 'hidden hotspot' ELSE 'aligned core' END AS role, h.* FROM hot h LEFT JOIN fan f ON f.id = h.id))
 SELECT role, CAST(rank AS INT) AS rank, id, kind, name, file_path, start_line FROM roles WHERE rank <= 5""")
 def structure_vs_runtime(spark, sf_dir):
-    return report.structure_vs_runtime(P.supply(spark, sf_dir))
+    return report.structure_vs_runtime(P.supply(spark, sf_dir, keep=True))
 
 
 @query(f"""WITH {_SUPPLY}, hot AS (SELECT * FROM nodes WHERE self_ms > 0 ORDER BY self_ms DESC, file_path, start_line, id LIMIT 1000),
 run AS (SELECT row_number() OVER w AS count, sum(self_ms) OVER w / (SELECT sum(self_ms) FROM nodes) AS share FROM hot WINDOW w AS (ORDER BY self_ms DESC, file_path, start_line, id ROWS UNBOUNDED PRECEDING))
 SELECT CAST(count AS INT) AS count, round(share, 6) AS share FROM run WHERE share >= 0.25 ORDER BY count LIMIT 1""")
 def runtime_concentration(spark, sf_dir):
-    return report.concentration(P.supply(spark, sf_dir), 1000, 0.25).select("count", _r("share", 6))
+    return report.concentration(P.supply(spark, sf_dir, keep=True), 1000, 0.25).select("count", _r("share", 6))
 
 
 # ---- profiles
@@ -302,9 +301,9 @@ def _profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events as a profile: a frame per user; an event is a sample, whose delta is the
     time since the event before it."""
     events = P.frames(spark, sf_dir)["events"]
-    order = Window.orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    samples = events.select((F.row_number().over(order) - 1).alias("at"), F.col("user_id").alias("node"), (micros - F.lag(micros).over(order)).alias("delta"))
+    timed = events.select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    ordered = P.in_sequence(timed, F.date_trunc("hour", "ts"), F.col("ts"), F.col("event_id"), value="micros")
+    samples = ordered.select(F.col("at_").alias("at"), F.col("user_id").alias("node"), (F.col("micros") - F.col("before_")).alias("delta"))
     nodes = events.groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("hit_count"))
     nodes = nodes.select("node", F.concat(F.lit("u"), F.col("node").cast("string")).alias("function_name"), F.lit("").alias("url"), F.col("node").alias("line"), F.lit(0).alias("column_number"), "hit_count")
     return nodes, samples
@@ -345,7 +344,8 @@ def runtime_call_edges(spark, sf_dir):
 _SPANS = """SELECT concat('R', r_regionkey) AS id, CAST(r_regionkey AS BIGINT) AS seq, 'Class' AS kind, r_name AS name, 'code' AS file_path, CAST(100 * r_regionkey + 1 AS BIGINT) AS start_line, CAST(100 * r_regionkey + 100 AS BIGINT) AS end_line FROM {region}
 UNION ALL SELECT concat('N', n_nationkey), CAST(100 + n_nationkey AS BIGINT), 'Function', concat('f', n_nationkey % 7), 'code', CAST(20 * n_nationkey + 1 AS BIGINT), CAST(20 * n_nationkey + 20 AS BIGINT) FROM {nation} WHERE n_nationkey % 2 = 0"""
 _FRAMES = """SELECT event_id AS frame, CASE WHEN event_id % 5 = 0 THEN '(anonymous)' WHEN event_id % 5 = 1 THEN concat('Shop.f', user_id % 9) WHEN event_id % 5 = 2 THEN concat('g', user_id) ELSE concat('f', user_id % 9) END AS function_name,
-CASE WHEN event_type = 'error' THEN NULL ELSE 'code' END AS file_path, CAST(floor(value) AS BIGINT) * 3 + 1 AS line FROM {events}"""
+CASE WHEN event_type = 'error' THEN NULL ELSE 'code' END AS file_path, CASE WHEN event_type <> 'error' THEN 'file:///work/code' WHEN event_id % 2 = 0 THEN concat('/gone/', user_id % 3, '.ts') ELSE '' END AS url,
+CAST(floor(value) AS BIGINT) * 3 + 1 AS line FROM {events}"""
 _RESOLVED = f"""spans AS ({P.text(_SPANS)}), frames AS ({P.text(_FRAMES)}),
 named AS (SELECT f.frame, f.line, s.* FROM frames f JOIN spans s ON s.file_path = f.file_path AND s.kind IN ('Function', 'Method', 'Property', 'Variable', 'Class')
   AND s.name IN (f.function_name, regexp_extract(f.function_name, '([^.]*)$', 1)) AND NOT starts_with(f.function_name, '(')),
@@ -353,7 +353,7 @@ counts AS (SELECT frame, count(*) AS n, min(id) AS only FROM named GROUP BY fram
 among AS (SELECT frame, id FROM named WHERE line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY frame ORDER BY end_line - start_line, start_line DESC, seq) = 1),
 ranged AS (SELECT f.frame, s.id FROM frames f JOIN spans s ON s.file_path = f.file_path AND f.line BETWEEN s.start_line AND s.end_line WHERE f.frame NOT IN (SELECT frame FROM counts)
   QUALIFY row_number() OVER (PARTITION BY f.frame ORDER BY s.end_line - s.start_line, s.start_line DESC, s.seq) = 1),
-resolved AS (SELECT f.frame, f.function_name, CASE WHEN c.n = 1 THEN c.only WHEN c.n > 1 THEN a.id ELSE r.id END AS id,
+resolved AS (SELECT f.frame, f.function_name, f.url, f.line, CASE WHEN c.n = 1 THEN c.only WHEN c.n > 1 THEN a.id ELSE r.id END AS id,
   CASE WHEN f.file_path IS NULL THEN 'no-file' WHEN c.n = 1 THEN 'name' WHEN c.n > 1 THEN CASE WHEN a.id IS NOT NULL THEN 'name' ELSE 'ambiguous' END WHEN r.id IS NOT NULL THEN 'range' ELSE 'no-node' END AS via
   FROM frames f LEFT JOIN counts c ON c.frame = f.frame LEFT JOIN among a ON a.frame = f.frame LEFT JOIN ranged r ON r.frame = f.frame)"""
 
@@ -378,18 +378,19 @@ def frame_range_match(spark, sf_dir):
     return _resolved(spark, sf_dir)[1].where("via = 'range'").select("frame", "id")
 
 
-@query(f"WITH {_RESOLVED} SELECT via AS reason, function_name AS label, count(*) AS samples FROM resolved WHERE id IS NULL GROUP BY via, function_name")
+@query(f"""WITH {_RESOLVED}, named_drops AS (SELECT via AS reason, concat(function_name, CASE WHEN via <> 'no-file' THEN concat(' ', url, ':', line) WHEN url = '' THEN '' ELSE concat(' ', url) END) AS label FROM resolved WHERE id IS NULL)
+SELECT reason, label, count(*) AS samples FROM named_drops GROUP BY reason, label""")
 def dropped_frames(spark, sf_dir):
     frames, found = _resolved(spark, sf_dir)
-    full = frames.select(F.col("frame").alias("node"), "function_name", F.lit("").alias("url"), "line", F.lit(1).alias("samples"), F.lit(0.0).alias("self_micros"))
+    full = frames.select(F.col("frame").alias("node"), "function_name", "url", "line", F.lit(1).alias("samples"), F.lit(0.0).alias("self_micros"))
     return runtime.attribute(full, found)[1].select("reason", "label", "samples")
 
 
-_URLS = """SELECT DISTINCT event_id AS frame, CASE event_id % 6 WHEN 0 THEN concat('file:///work/app/src/u', user_id, '.ts') WHEN 1 THEN concat('/elsewhere/src/u', user_id, '.ts') WHEN 2 THEN 'node:fs' WHEN 3 THEN '' WHEN 4 THEN concat('src/u', user_id, '.ts') ELSE '/x/index.ts' END AS url FROM {events}"""
-_KNOWN = """SELECT DISTINCT concat('src/u', user_id, '.ts') AS file_path FROM {events} WHERE user_id % 3 <> 0 UNION ALL SELECT 'index.ts' UNION ALL SELECT 'x/index.ts'"""
+_URLS = """SELECT DISTINCT event_id AS frame, CASE event_id % 8 WHEN 0 THEN concat('file:///work/app/src/u', user_id, '.ts') WHEN 1 THEN concat('/elsewhere/src/u', user_id, '.ts') WHEN 2 THEN 'node:fs' WHEN 3 THEN '' WHEN 4 THEN concat('src/u', user_id, '.ts') WHEN 5 THEN 'file:///work/app/src/a%20b.ts' WHEN 6 THEN 'src/100%z.ts' ELSE '/x/index.ts' END AS url FROM {events}"""
+_KNOWN = """SELECT DISTINCT concat('src/u', user_id, '.ts') AS file_path FROM {events} WHERE user_id % 3 <> 0 UNION ALL SELECT 'index.ts' UNION ALL SELECT 'x/index.ts' UNION ALL SELECT 'src/a b.ts' UNION ALL SELECT 'src/100%z.ts'"""
 
 
-@query(f"""WITH urls AS ({P.text(_URLS)}), known AS ({P.text(_KNOWN)}), bare AS (SELECT frame, url, replace(url, 'file://', '') AS p FROM urls),
+@query(f"""WITH urls AS ({P.text(_URLS)}), known AS ({P.text(_KNOWN)}), bare AS (SELECT frame, url, CASE WHEN starts_with(url, 'file://') THEN url_decode(replace(url, 'file://', '')) ELSE url END AS p FROM urls),
 ends AS (SELECT b.frame, count(*) AS n, min(k.file_path) AS f FROM bare b JOIN known k ON starts_with(b.p, '/') AND ends_with(b.p, concat('/', k.file_path)) GROUP BY b.frame)
 SELECT b.frame, CASE WHEN starts_with(b.p, '/work/app/') AND substr(b.p, 11) IN (SELECT file_path FROM known) THEN substr(b.p, 11) WHEN starts_with(b.p, '/') AND e.n = 1 THEN e.f WHEN b.p IN (SELECT file_path FROM known) THEN b.p END AS file_path
 FROM bare b LEFT JOIN ends e ON e.frame = b.frame""")

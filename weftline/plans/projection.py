@@ -7,10 +7,13 @@ that a loaded code graph would carry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
+from weftline.plans.settle import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -61,16 +64,56 @@ SELECT concat('C', o_custkey) AS src, concat('C', follower) AS dst, 'CALLS' AS k
 """
 #: Likeness: unordered pairs of vectors whose cosine is high, tied by it.
 LIKENESS_COSINE = 0.35
-
-
-def likeness_pairs(sf_dir_table: DataFrame, least: float = LIKENESS_COSINE) -> DataFrame:
-    """(src, dst, weight) of vector pairs whose cosine reaches ``least``, src < dst."""
-    v = sf_dir_table.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))))
-    a, b = v.select(F.col("vec_id").alias("src"), F.col("e").alias("ea"), F.col("n").alias("na")), v.select(F.col("vec_id").alias("dst"), F.col("e").alias("eb"), F.col("n").alias("nb"))
-    cosine = F.round(dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb")), 4)
-    return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", cosine.alias("weight")).where(F.col("weight") >= least)
+_BLOCK = 4096
+
+
+def likeness_pairs(vectors: DataFrame, least: float = LIKENESS_COSINE) -> DataFrame:
+    """(src, dst, weight) of vector pairs whose cosine reaches ``least``, src < dst.
+
+    Vectors lie in blocks of about ``_BLOCK``; a task multiplies two blocks, and only the
+    pairs that reach the bound leave it. All pairs are compared, as no cosine can be
+    told without: the work is quadratic, the rows that move are the vectors times the
+    number of blocks."""
+    n = vectors.count()
+    blocks = max(1, -(-n // _BLOCK))
+    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("g"))
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = v.withColumn("h", F.explode(others)).select(F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), (F.col("g") == F.least("g", "h")).alias("left"), "vec_id", "e")
+    schema = f"src {vectors.schema['vec_id'].dataType.simpleString()}, dst {vectors.schema['vec_id'].dataType.simpleString()}, weight double"
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        def side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            e = np.stack(rows["e"].to_list()) if len(rows) else np.empty((0, 1))
+            return rows["vec_id"].to_numpy(), e / np.sqrt(np.square(e).sum(1, keepdims=True))
+
+        (a, ea), (b, eb) = side(group[group["left"]]), side(group if key[0] == key[1] else group[~group["left"]])
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": a[:0], "dst": a[:0], "weight": np.empty(0)})
+        cosine = np.round(ea @ eb.T, 4)
+        x, y = np.nonzero(cosine >= least)
+        keep = a[x] < b[y] if key[0] == key[1] else a[x] != b[y]
+        x, y = x[keep], y[keep]
+        return pd.DataFrame({"src": np.minimum(a[x], b[y]), "dst": np.maximum(a[x], b[y]), "weight": cosine[x, y]})
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, schema)
+
+
+def in_sequence(df: DataFrame, group: Column, *order: Column, value: str) -> DataFrame:
+    """``df`` with ``before_`` and ``after_``, the ``value`` of the rows before and after
+    each in the order, and ``at_``, its place from 0. ``group`` must follow the order,
+    as a day follows the time. Rows are ordered within each group; of groups, which
+    are few, the ends and sizes are put in a row."""
+    keyed = df.withColumn("g_", group)
+    own = Window.partitionBy("g_").orderBy(*order)
+    keyed = keyed.withColumn("r_", F.row_number().over(own)).withColumn("b_", F.lag(value).over(own)).withColumn("a_", F.lead(value).over(own))
+    first = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    ends = df.withColumn("g_", group).groupBy("g_").agg(F.min_by(value, first).alias("first"), F.max_by(value, first).alias("last"), F.count("*").alias("n"))
+    row = Window.orderBy("g_")
+    ends = ends.select("g_", F.lag("last").over(row).alias("l_"), F.lead("first").over(row).alias("f_"), F.coalesce(F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o_"), F.col("n").alias("n_"))
+    joined = keyed.join(ends, "g_")
+    before = F.when(F.col("r_") == 1, F.col("l_")).otherwise(F.col("b_"))
+    after = F.when(F.col("r_") == F.col("n_"), F.col("f_")).otherwise(F.col("a_"))
+    return joined.select(*df.columns, before.alias("before_"), after.alias("after_"), (F.col("o_") + F.col("r_") - 1).alias("at_"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -90,17 +133,24 @@ def text(sql: str) -> str:
     return sql.strip()
 
 
-def graph(spark: SparkSession, sf_dir: str, nodes_sql: str, edges_sql: str) -> Graph:
+def graph(nodes: DataFrame, edges: DataFrame, keep: bool = False) -> Graph:
+    """The graph of projected rows. With ``keep`` it is written once, edges by kind, for
+    operators that read it several times."""
     runtime = F.when(F.col("self_ms").isNotNull(), F.to_json(F.struct(F.struct(F.col("samples"), F.col("self_ms").alias("selfMs")).alias("runtime"))))
-    nodes = rows(spark, sf_dir, nodes_sql)
-    nodes = nodes.select(F.lit(0).cast("bigint").alias("seq"), "id", "kind", "name", "file_path", "exported", "start_line", F.col("start_line").alias("end_line"), F.coalesce(runtime, F.lit("{}")).alias("metadata"))
-    edges = rows(spark, sf_dir, edges_sql).select(F.lit(0).cast("bigint").alias("seq"), "src", "dst", "kind", F.to_json(F.struct(F.col("calls").alias("count"))).alias("metadata"))
-    return Graph.of(nodes.select(*NODE_COLUMNS), edges.select(*EDGE_COLUMNS))
+    nodes = nodes.select(F.lit(0).cast("bigint").alias("seq"), "id", "kind", "name", "file_path", "exported", "start_line", F.col("start_line").alias("end_line"), F.coalesce(runtime, F.lit("{}")).alias("metadata")).select(*NODE_COLUMNS)
+    edges = edges.select(F.lit(0).cast("bigint").alias("seq"), "src", "dst", "kind", F.to_json(F.struct(F.col("calls").alias("count"))).alias("metadata")).select(*EDGE_COLUMNS)
+    return Graph.of(stored(nodes), stored(edges, "kind").select(*EDGE_COLUMNS)) if keep else Graph.of(nodes, edges)
 
 
-def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    return graph(spark, sf_dir, SUPPLY_NODES, SUPPLY_EDGES)
+def supply(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
+    return graph(rows(spark, sf_dir, SUPPLY_NODES), rows(spark, sf_dir, SUPPLY_EDGES), keep)
 
 
-def handoff(spark: SparkSession, sf_dir: str) -> Graph:
-    return graph(spark, sf_dir, HANDOFF_NODES, HANDOFF_EDGES)
+def handoff(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
+    """The graph that HANDOFF_NODES and HANDOFF_EDGES describe, days being put in a row
+    instead of orders."""
+    orders = frames(spark, sf_dir)["orders"].select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    followed = in_sequence(orders, F.col("day"), F.col("day"), F.col("o_orderkey"), value="o_custkey").where("after_ IS NOT NULL")
+    name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
+    edges = followed.groupBy("o_custkey", "after_").agg(F.count("*").alias("calls")).select(name("o_custkey").alias("src"), name("after_").alias("dst"), F.lit("CALLS").alias("kind"), "calls")
+    return graph(rows(spark, sf_dir, HANDOFF_NODES), edges, keep)

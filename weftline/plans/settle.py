@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -30,3 +32,26 @@ def settle(df: DataFrame) -> DataFrame:
     lineage. The files survive the loss of any executor."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder, in a folder for each value
+    of ``by``, and read it again: for a table that several queries filter or read in
+    part, whose columns and folders are then pruned."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """``df`` with ``name`` bigint, the place of each row in the order, from 0. Rows are
+    sorted by ranges; only the number of rows of each range goes to the driver, so no
+    task has more than a range. Ties are in any order: let ``order`` be total."""
+    ranged = settle(df.orderBy(*order).withColumn("range_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, offsets = 0, []
+    for row in ranged.groupBy("range_").count().orderBy("range_").collect():
+        offsets.append((row["range_"], before))
+        before += row["count"]
+    places = F.broadcast(df.sparkSession.createDataFrame(offsets, "range_ int, before_ bigint"))
+    return ranged.join(places, "range_").withColumn(name, F.col("before_") + F.col("at_")).drop("range_", "at_", "before_")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,27 +56,45 @@ def source_manifest(spark: SparkSession, path: str) -> dict | None:
     return value if isinstance(value, dict) and all(isinstance(value.get(f), str) for f in fields) else None
 
 
-def write(graph: Graph, folder: str) -> None:
-    """nodes.jsonl and edges.jsonl as folders of JSON lines, in load order."""
-    empty = lambda: F.when(F.col("metadata").isin("{}", ""), None).otherwise(F.expr("try_parse_json(metadata)"))
-    span = F.when(F.col("start_line") > 0, F.struct(F.col("start_line").alias("startLine"), F.lit(0).alias("startColumn"), F.col("end_line").alias("endLine"), F.lit(0).alias("endColumn")))
-    nodes = graph.nodes.orderBy("seq", "id").select(F.to_json(F.struct("id", "kind", "name", F.col("file_path").alias("filePath"), span.alias("range"), "exported", empty().alias("metadata"))).alias("value"))
-    name = F.concat("kind", F.lit(":"), "src", F.lit("->"), "dst")
-    edges = graph.edges.orderBy("seq", "src", "dst").select(F.to_json(F.struct(name.alias("id"), "kind", F.col("src").alias("from"), F.col("dst").alias("to"), empty().alias("metadata"))).alias("value"))
+def _quoted(c: str) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def _object(*parts: tuple[str, Column | None]) -> Column:
+    """JSON text of an object; a part whose text is null is left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts]), F.lit("}"))
+
+
+def write(graph: Graph, folder: str, source: dict | None = None) -> None:
+    """nodes.jsonl and edges.jsonl as folders of JSON lines, in load order, and
+    source.json where the graph's origin is known. Metadata are written as they are,
+    keys in their order; empty ones are left out, as is a range that isn't known.
+    Columns aren't stored: ranges have 0 there."""
+    metadata = F.when(~F.coalesce(F.trim("metadata"), F.lit("")).isin("", "{}", "null"), F.col("metadata"))
+    line = lambda c: F.col(c).cast("string")
+    span = F.when(F.col("start_line") > 0, F.concat(F.lit('{"startLine":'), line("start_line"), F.lit(',"startColumn":0,"endLine":'), line("end_line"), F.lit(',"endColumn":0}')))
+    nodes = graph.nodes.orderBy("seq", "id").select(_object(("id", _quoted("id")), ("kind", _quoted("kind")), ("name", _quoted("name")), ("filePath", _quoted("file_path")), ("range", span), ("exported", line("exported")), ("metadata", metadata)).alias("value"))
+    named = graph.edges.withColumn("id", F.concat("kind", F.lit(":"), "src", F.lit("->"), "dst"))
+    edges = named.orderBy("seq", "src", "dst").select(_object(("id", _quoted("id")), ("kind", _quoted("kind")), ("from", _quoted("src")), ("to", _quoted("dst")), ("metadata", metadata)).alias("value"))
     nodes.write.mode("overwrite").text(f"{folder}/nodes.jsonl")
     edges.write.mode("overwrite").text(f"{folder}/edges.jsonl")
+    path = graph.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/source.json")
+    fs = path.getFileSystem(graph.spark._jsc.hadoopConfiguration())
+    fs.delete(path, False)
+    if source is not None:
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(source, ensure_ascii=False, indent=2).encode()))
+        out.close()
 
 
 def viewer_script(graph: Graph) -> str:
     """The graph as a script that sets a constant, edges named e0, e1, ... For graphs
     that a browser can show; it is collected."""
-    order = Window.orderBy("seq", "src", "dst", "kind")
-    edges = graph.edges.withColumn("n", F.row_number().over(order) - 1).orderBy("n")
-
     def with_meta(row: T.Row, out: dict) -> dict:
         meta = json.loads(row["metadata"] or "{}")
         return out | ({"metadata": meta} if meta else {})
 
     nodes = [with_meta(r, {"id": r["id"], "kind": r["kind"], "name": r["name"], "filePath": r["file_path"], "startLine": r["start_line"], "exported": r["exported"]}) for r in graph.nodes.orderBy("seq", "id").collect()]
-    links = [with_meta(r, {"id": f"e{r['n']}", "kind": r["kind"], "from": r["src"], "to": r["dst"]}) for r in edges.collect()]
+    links = [with_meta(r, {"id": f"e{k}", "kind": r["kind"], "from": r["src"], "to": r["dst"]}) for k, r in enumerate(graph.edges.orderBy("seq", "src", "dst", "kind").collect())]
     return "window.GRAPH_DATA = " + json.dumps({"nodes": nodes, "edges": links}, ensure_ascii=False).replace("</", "<\\/") + ";\n"
