@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tests.graphs import graph
-from weftline.operators import bench, cluster, report, runtime
+from weftline.operators import bench, cluster, onehop, report, runtime
 from weftline.plans.model import EDGE_SCHEMA, NODE_SCHEMA
 from weftline.sources import jsonl, profiles, store
 
@@ -160,3 +160,22 @@ def test_kinds_are_complete():
     from weftline.plans.model import EDGE_KINDS, NODE_KINDS, TIE_WEIGHTS, USE_KINDS
 
     assert len(NODE_KINDS) == 14 and len(EDGE_KINDS) == 17 and set(USE_KINDS) | set(TIE_WEIGHTS) <= set(EDGE_KINDS) and NODE_SCHEMA
+
+
+def test_a_store_from_nothing(spark, tmp_path):
+    kept = store.GraphStore(spark, str(tmp_path / "s"))
+    assert kept.init().nodes.count() == 0
+    kept.write(graph(spark, {"a": {}, "b": {}}, [("a", "b")]))
+    assert kept.init().nodes.count() == 2
+    more = spark.createDataFrame([(9, "b", "a", "READS", "{}"), (9, "a", "b", "CALLS", '{"count":2}'), (9, "a", "gone", "CALLS", "{}")], EDGE_SCHEMA)
+    got = kept.append_edges(more)
+    assert {(r["src"], r["dst"], r["kind"], r["metadata"]) for r in got.edges.collect()} == {("b", "a", "READS", "{}"), ("a", "b", "CALLS", '{"count":2}')}
+    changed = store.set_metadata(got.nodes, spark.createDataFrame([("a", '{"x":1}')], "id string, metadata string"))
+    assert {r["id"]: r["metadata"] for r in changed.collect()} == {"a": '{"x":1}', "b": "{}"}
+
+
+def test_what_the_viewer_hides(spark):
+    g = graph(spark, {"a": {"meta": {"community": 1, "runtime": {"selfMs": 2}}}, "b": {"meta": {"community": 2}}, "c": {}}, [("a", "b"), ("b", "c", "CALLS", {"count": 4})])
+    names = lambda **how: sorted(r["id"] for r in onehop.visible(g, **how).nodes.collect())
+    assert names(hide_communities=(1,)) == ["b", "c"] and names(measured_only=True) == ["a"] and names(hide_communities=(2,), hide_isolated=True) == []
+    assert [(r["id"], r["direction"], r["count"]) for r in onehop.detail(g, "b").collect()] == [("c", "out", 4.0), ("a", "in", 1.0)]

@@ -118,6 +118,11 @@ def ranked(model: CostModel, limit: float | None = None) -> DataFrame:
     return _refs(model).where("inclusive_cost > 0").orderBy(F.desc("inclusive_cost"), F.collate("file_path", "UNICODE"), "start_line", "id").limit(clamp_limit(limit))
 
 
+def totals(model: CostModel) -> dict[str, float]:
+    """Self cost of all nodes, and how many of them were measured."""
+    return {"total_self": model.total_self, "measured": model.measured}
+
+
 def cost_ranking(graph: Graph, by: str = "self-time", edges: str = "static", limit: float | None = None) -> DataFrame:
     """``ranked`` of the graph's cost model."""
     model, _, _ = cost_model(graph, by, edges)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import metadata as M
 from weftline.plans.model import REF, USE_KINDS, Graph
 
 FIND_LIMIT = 50
@@ -39,6 +40,12 @@ def neighborhood(graph: Graph, node_id: str) -> DataFrame:
     return out.unionByName(_ends(graph, graph.edges.where(F.col("dst") == node_id), "src").withColumn("direction", F.lit("in")))
 
 
+def detail(graph: Graph, node_id: str) -> DataFrame:
+    """``neighborhood`` with ``count``, how often an edge occurs: the viewer's panel."""
+    around = neighborhood(graph, node_id)
+    return around.withColumn("count", M.call_count("edge_metadata")).orderBy(F.desc("count"), "direction", "edge_kind", "file_path", "start_line", "id")
+
+
 def find(graph: Graph, pattern: str, limit: int = FIND_LIMIT) -> DataFrame:
     """Nodes other than modules whose name contains ``pattern``, or whose kind is it,
     in any case; by file and line, the first 50. The pattern is literal text; an
@@ -66,11 +73,16 @@ def search(graph: Graph, text: str, limit: int = 15) -> DataFrame:
     return graph.nodes.where(hit & F.lit(len(text.strip()) >= 2)).orderBy("seq", "id").select(*REF).limit(limit)
 
 
-def visible(graph: Graph, hide_nodes: tuple[str, ...] = (), hide_edges: tuple[str, ...] = (), keep: Column | None = None, hide_isolated: bool = False) -> Graph:
-    """The graph without nodes and edges of hidden kinds, without nodes that ``keep``
+def visible(graph: Graph, hide_nodes: tuple[str, ...] = (), hide_edges: tuple[str, ...] = (), keep: Column | None = None, hide_isolated: bool = False, hide_communities: tuple[int, ...] = (), measured_only: bool = False) -> Graph:
+    """The graph without nodes and edges of hidden kinds, without nodes of hidden
+    communities or, on request, without runtime figures, without nodes that ``keep``
     rejects, and, on request, without nodes that no visible edge ties to another
     visible node."""
     nodes = graph.nodes.where(~F.col("kind").isin(*hide_nodes)) if hide_nodes else graph.nodes
+    if hide_communities:
+        nodes = nodes.where(~F.coalesce(M.number("metadata", "$.community").cast("bigint").isin(*hide_communities), F.lit(False)))
+    if measured_only:
+        nodes = nodes.where(M.has_runtime())
     nodes = nodes.where(keep) if keep is not None else nodes
     edges = graph.edges.where(~F.col("kind").isin(*hide_edges)) if hide_edges else graph.edges
     ids = nodes.select("id")

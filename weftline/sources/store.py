@@ -113,6 +113,10 @@ class GraphStore:
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{version}/{name}")
         return Graph(read("nodes", NODE_SCHEMA).select(*NODE_COLUMNS), read("edges", EDGE_SCHEMA).select(*EDGE_COLUMNS), read("meta", META_SCHEMA))
 
+    def init(self) -> Graph:
+        """Make an empty store where there is none; what is stored stays."""
+        return self.read() if self._current() is not None else self.write(self.read())
+
     def write(self, graph: Graph) -> Graph:
         old, version = self._current(), f"v-{uuid.uuid4().hex}"
         # rows near in key lie in the same files, so that a lookup reads few of them
