@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import metadata as M
 from weftline.operators.connectivity import strong_components
 from weftline.plans.model import REF, Graph
-from weftline.plans.settle import settle
+from weftline.plans.settle import hinted, settle
 
 METRICS = {"self-time": "self_ms", "samples": "samples"}
 FLOWS = ("static", "runtime")
@@ -64,7 +64,8 @@ def _solve(own: DataFrame, shares: DataFrame) -> DataFrame:
     left, pending = settle(left), settle(pending)
     for _ in range(PEELED):
         busy = pending.select(F.col("src").alias("component")).distinct()
-        ready = settle(left.join(busy, "component", "left_anti"))
+        # both sides are settled: what is ready needn't be
+        ready = left.join(busy, "component", "left_anti")
         done = ready if done is None else done.unionByName(ready)
         if pending.isEmpty():
             return done
@@ -90,13 +91,13 @@ def cost_model(graph: Graph, metric: str = "self-time", flow: str = "static") ->
     raw, used, fell = flow_edges(graph, flow)
     nodes = settle(measured_nodes(graph))
     ids = nodes.select("id")
-    edges = raw.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges = raw.where("src <> dst").join(hinted(ids.withColumnRenamed("id", "src")), "src", "left_semi").join(hinted(ids.withColumnRenamed("id", "dst")), "dst", "left_semi")
     edges = settle(edges.select("src", "dst", "count"))
     found = strong_components(edges.select("src", "dst"))
     member = nodes.select("id", F.col(METRICS[metric]).alias("self")).join(found, "id", "left").select("id", "self", F.coalesce("component", "id").alias("component"))
     member = settle(member)
     comps = member.groupBy("component").agg(F.sum("self").alias("self"), F.count("*").alias("size"))
-    a, b = member.select(F.col("id").alias("src"), F.col("component").alias("s")), member.select(F.col("id").alias("dst"), F.col("component").alias("d"))
+    a, b = hinted(member.select(F.col("id").alias("src"), F.col("component").alias("s"))), hinted(member.select(F.col("id").alias("dst"), F.col("component").alias("d")))
     between = settle(edges.join(a, "src").join(b, "dst").where("s <> d"))
     inbound = between.groupBy("dst").agg(F.sum("count").alias("inbound"))
     shares = between.join(inbound, "dst").where("inbound > 0").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum(F.col("count") / F.col("inbound")).alias("share"))

@@ -63,7 +63,7 @@ def dead_exports(graph: Graph) -> DataFrame:
     function uses itself."""
     uses = graph.edges.where(F.col("kind").isin(*USE_KINDS))
     ids = graph.nodes.select(F.col("id").alias("src"))
-    used = uses.join(ids, "src", "left_semi").select(F.col("dst").alias("id"))
+    used = settle(uses.join(ids, "src", "left_semi").select(F.col("dst").alias("id")).distinct())
     inside = graph.edges.where("kind = 'CONTAINS'").join(used.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     live = used.unionByName(inside).distinct()
     dead = graph.nodes.where("exported").join(live, "id", "left_anti").where(~entry_point(F.col("file_path")))

@@ -55,3 +55,24 @@ def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
         before += row["count"]
     places = F.broadcast(df.sparkSession.createDataFrame(offsets, "range_ int, before_ bigint"))
     return ranged.join(places, "range_").withColumn(name, F.col("before_") + F.col("at_")).drop("range_", "at_", "before_")
+
+
+#: Bytes that a side may have to be broadcast, as its values take them.
+BROADCAST_BYTES = 8_000_000
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df`` with some for each row: text by its length, arrays by
+    their elements at eight bytes."""
+    size = F.lit(24)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        own = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if kind.startswith("array") else F.lit(8)
+        size = size + F.coalesce(own, F.lit(0))
+    return int(df.agg(F.sum(size)).first()[0] or 0)
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """A settled ``df``, to be broadcast where its measured bytes allow it. Settled rows
+    have no statistics that a join could go by."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
