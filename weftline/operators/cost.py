@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import metadata as M
-from weftline.operators.connectivity import strong_components
+from weftline.operators.connectivity import cyclic_core, strong_components
 from weftline.plans.model import REF, Graph
-from weftline.plans.settle import hinted, settle
+from weftline.plans.settle import stored
 
 METRICS = {"self-time": "self_ms", "samples": "samples"}
 FLOWS = ("static", "runtime")
@@ -61,23 +61,23 @@ def _solve(own: DataFrame, shares: DataFrame) -> DataFrame:
     them; deeper graphs are finished by squaring the shares, which takes a
     logarithm of the remaining depth in rounds."""
     left, pending, done = own.select("component", F.col("self").alias("inclusive")), shares, None
-    left, pending = settle(left), settle(pending)
+    left, pending = stored(left), stored(pending)
     for _ in range(PEELED):
         busy = pending.select(F.col("src").alias("component")).distinct()
-        # both sides are settled: what is ready needn't be
+        # both sides are stored: what is ready needn't be
         ready = left.join(busy, "component", "left_anti")
         done = ready if done is None else done.unionByName(ready)
         if pending.isEmpty():
             return done
         gains = pending.join(ready, pending["dst"] == ready["component"]).groupBy("src").agg(F.sum(F.col("share") * F.col("inclusive")).alias("gain"))
         rest = left.join(ready, "component", "left_anti").join(gains.withColumnRenamed("src", "component"), "component", "left")
-        left = settle(rest.select("component", (F.col("inclusive") + F.coalesce("gain", F.lit(0.0))).alias("inclusive")))
-        pending = settle(pending.join(ready.select(F.col("component").alias("dst")), "dst", "left_anti").select("src", "dst", "share"))
+        left = stored(rest.select("component", (F.col("inclusive") + F.coalesce("gain", F.lit(0.0))).alias("inclusive")))
+        pending = stored(pending.join(ready.select(F.col("component").alias("dst")), "dst", "left_anti").select("src", "dst", "share"))
     while not pending.isEmpty():
         gains = pending.join(left, pending["dst"] == left["component"]).groupBy("src").agg(F.sum(F.col("share") * F.col("inclusive")).alias("gain"))
-        left = settle(left.join(gains.withColumnRenamed("src", "component"), "component", "left").select("component", (F.col("inclusive") + F.coalesce("gain", F.lit(0.0))).alias("inclusive")))
+        left = stored(left.join(gains.withColumnRenamed("src", "component"), "component", "left").select("component", (F.col("inclusive") + F.coalesce("gain", F.lit(0.0))).alias("inclusive")))
         twice = pending.alias("a").join(pending.alias("b"), F.col("a.dst") == F.col("b.src"))
-        pending = settle(twice.groupBy(F.col("a.src"), F.col("b.dst")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("share")))
+        pending = stored(twice.groupBy(F.col("a.src"), F.col("b.dst")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("share")))
     return done.unionByName(left)
 
 
@@ -89,23 +89,29 @@ def cost_model(graph: Graph, metric: str = "self-time", flow: str = "static") ->
     if metric not in METRICS:
         raise ValueError(f"by must be one of {', '.join(METRICS)}")
     raw, used, fell = flow_edges(graph, flow)
-    nodes = settle(measured_nodes(graph))
+    nodes = stored(measured_nodes(graph))
     ids = nodes.select("id")
-    edges = raw.where("src <> dst").join(hinted(ids.withColumnRenamed("id", "src")), "src", "left_semi").join(hinted(ids.withColumnRenamed("id", "dst")), "dst", "left_semi")
-    edges = settle(edges.select("src", "dst", "count"))
-    found = strong_components(edges.select("src", "dst"))
-    member = nodes.select("id", F.col(METRICS[metric]).alias("self")).join(found, "id", "left").select("id", "self", F.coalesce("component", "id").alias("component"))
-    member = settle(member)
-    comps = member.groupBy("component").agg(F.sum("self").alias("self"), F.count("*").alias("size"))
-    a, b = hinted(member.select(F.col("id").alias("src"), F.col("component").alias("s"))), hinted(member.select(F.col("id").alias("dst"), F.col("component").alias("d")))
-    between = settle(edges.join(a, "src").join(b, "dst").where("s <> d"))
+    edges = raw.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges = stored(edges.select("src", "dst", "count"))
+    own = nodes.select("id", F.col(METRICS[metric]).alias("self"))
+    core = cyclic_core(edges)
+    if core is None:
+        # without cycles each node is a component by itself
+        member, between = own.withColumn("component", F.col("id")), edges.withColumns({"s": F.col("src"), "d": F.col("dst")})
+        comps = own.select(F.col("id").alias("component"), "self", F.lit(1).cast("bigint").alias("size"))
+    else:
+        found = strong_components(edges.select("src", "dst"), core=core)
+        member = stored(own.join(found, "id", "left").select("id", "self", F.coalesce("component", "id").alias("component")))
+        comps = member.groupBy("component").agg(F.sum("self").alias("self"), F.count("*").alias("size"))
+        a, b = member.select(F.col("id").alias("src"), F.col("component").alias("s")), member.select(F.col("id").alias("dst"), F.col("component").alias("d"))
+        between = stored(edges.join(a, "src").join(b, "dst").where("s <> d"))
     inbound = between.groupBy("dst").agg(F.sum("count").alias("inbound"))
     shares = between.join(inbound, "dst").where("inbound > 0").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum(F.col("count") / F.col("inbound")).alias("share"))
     solved = _solve(comps, shares)
     costed = nodes.join(member, "id").join(comps.select("component", "size"), "component").join(solved, "component").join(inbound.withColumnRenamed("dst", "id"), "id", "left")
     costed = costed.select("seq", *REF, "measured", "self", "inclusive", "component", "size", F.coalesce("inbound", F.lit(0.0)).alias("inbound"))
     sums = nodes.agg(F.sum(METRICS[metric]).alias("t"), F.sum(F.col("measured").cast("bigint")).alias("m")).first()
-    return CostModel(settle(costed), edges, sums["t"] or 0.0, sums["m"] or 0), used, fell
+    return CostModel(stored(costed), edges, sums["t"] or 0.0, sums["m"] or 0), used, fell
 
 
 def _refs(model: CostModel) -> DataFrame:

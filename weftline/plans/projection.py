@@ -116,14 +116,26 @@ def in_sequence(df: DataFrame, group: Column, *order: Column, value: str) -> Dat
     return joined.select(*df.columns, before.alias("before_"), after.alias("after_"), (F.col("o_") + F.col("r_") - 1).alias("at_"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+class Tables(dict):
+    """The tables of a folder by name, each opened when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, sf_dir)
 
 
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A projection's text over the tables of ``sf_dir``."""
-    named = {t: d for t, d in frames(spark, sf_dir).items() if "{" + t + "}" in sql}
-    return spark.sql(sql, **named)
+    known = frames(spark, sf_dir)
+    return spark.sql(sql, **{t: known[t] for t in TABLES if "{" + t + "}" in sql})
 
 
 def text(sql: str) -> str:

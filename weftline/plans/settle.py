@@ -36,12 +36,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder, in a folder for each value
-    of ``by``, and read it again: for a table that several queries filter or read in
-    part, whose columns and folders are then pruned."""
-    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    of ``by``, and read it again. Later steps read the columns and folders that they
+    need, and joins know the table's size. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
