@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.settle import hinted
+
 #: How many rows one task of a Python stage should hold at once.
 ROWS_PER_TASK = 400_000
 
@@ -46,25 +48,8 @@ def spread(df: DataFrame, rows: int, *keys: Column | str, per_task: int = ROWS_P
     return df.repartition(width, *keys)
 
 
-#: Bytes that a side may have to be broadcast, as its values take them.
-BROADCAST_BYTES = 8_000_000
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the values of ``df`` with some for each row: text by its length, arrays by
-    their elements at eight bytes."""
-    size = F.lit(24)
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        own = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if kind.startswith("array") else F.lit(8)
-        size = size + F.coalesce(own, F.lit(0))
-    return int(df.agg(F.sum(size)).first()[0] or 0)
-
-
 def join_measured(large: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
     """``large`` joined with ``small``, which is measured first (pass it settled) and
     broadcast where it has few bytes, so that ``large`` isn't shuffled; beyond that both
     sides are shuffled by the key."""
-    if measured_bytes(small) <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return large.join(small, on, how)
+    return large.join(hinted(small), on, how)
