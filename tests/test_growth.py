@@ -4,8 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.graphs import graph, measured
+from weftline.extract import build
 from weftline.operators import connectivity, cost, hotspots, report
 from weftline.plans import catalog, settle
 from weftline.plans import projection as P
@@ -102,3 +104,15 @@ def test_costs_of_a_deep_graph_without_cycles(spark):
     for k in reversed(range(depth)):
         want[f"n{k}"] = 1.0 + (want[f"n{k + 1}"] * (3 / 4 if k else 1.0) if k + 1 < depth else 0) + (want[f"n{k + 2}"] / 4 if k + 2 < depth else 0)
     assert got == pytest.approx(want)
+
+
+def test_short_files_are_spread_and_nodes_need_no_uses(spark, monkeypatch):
+    files = spark.createDataFrame([(f"src/f{k}.ts", f"export function f{k}() {{ return process.env.K{k % 3}; }}\n") for k in range(40)], "path string, text string").coalesce(1)
+    found = build.read_facts(files)
+    assert found.rdd.getNumPartitions() >= 4 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    monkeypatch.setattr(build, "_ROWS", 7)
+    assert sorted(map(str, build.read_facts(files).collect())) == sorted(map(str, found.collect()))
+    whole = build.build(files, semantic=True)
+    assert sorted(map(str, build.build_edges(files, semantic=True).collect())) == sorted(map(str, whole.edges.collect()))
+    monkeypatch.setattr(build, "Names", lambda *a: pytest.fail("nodes without routes were given meanings of names"))
+    assert sorted(map(str, build.build_nodes(files, semantic=True).collect())) == sorted(map(str, whole.nodes.collect()))

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from weftline.extract.facts import facts
 from weftline.extract.project import project_files
 from weftline.plans.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
-from weftline.plans.settle import numbered, settle
+from weftline.plans.settle import numbered, stored
 
 _FACTS = (
     "file string, fact string, seq bigint, id string, kind string, name string, parent string, start_line bigint, end_line bigint, exported boolean, metadata string, syntax string, "
     "local string, publish string, type string, function boolean, how string, a string, b string, c string"
 )
+#: Facts of a batch, from as many files as have them; a file's own stay together.
+_ROWS = 5_000
 #: Rounds that chains of re-exports or base classes are followed for.
 _LONGEST_CHAIN = 32
 _CALLABLE = ("FunctionDeclaration", "MethodDeclaration", "MethodSignature", "VariableDeclaration")
@@ -32,17 +34,26 @@ _VALUES = ("VariableDeclaration", "FunctionDeclaration", "ClassDeclaration", "En
 
 
 def read_facts(files: DataFrame) -> DataFrame:
-    """Facts of ``files`` (path, text), one row each."""
+    """Facts of ``files`` (path, text), one row each. A table of short texts is few
+    splits of few bytes, but as much work as any: files are spread by number."""
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in _FACTS.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([r | {"file": path} for r in facts(path, text or "")], schema)
+                found.extend(r | {"file": path} for r in facts(path, text or ""))
+                if len(found) >= _ROWS:
+                    yield pa.RecordBatch.from_pylist(found, schema)
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema)
 
-    return files.select("path", "text").where("path IS NOT NULL").mapInArrow(run, _FACTS)
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.select("path", "text").where("path IS NOT NULL").repartition(parts, "path").mapInArrow(run, _FACTS)
 
 
 def _resolved_path(base: Column, spec: Column) -> Column:
@@ -77,39 +88,39 @@ class Names:
 
     def __init__(self, found: DataFrame, targets: DataFrame) -> None:
         nodes = found.where("fact = 'node'")
-        self.decls = settle(nodes.where("syntax IS NOT NULL").groupBy(F.col("id").alias("decl")).agg(F.first("syntax").alias("syntax"), F.first("type").alias("type"), F.max("function").alias("function"), F.first("file").alias("file")))
-        self.own = settle(_first(nodes.where("local IS NOT NULL").select("file", F.col("local").alias("name"), F.col("id").alias("decl"), "seq"), ["file", "name"]))
+        self.decls = stored(nodes.where("syntax IS NOT NULL").groupBy(F.col("id").alias("decl")).agg(F.first("syntax").alias("syntax"), F.first("type").alias("type"), F.max("function").alias("function"), F.first("file").alias("file")))
+        self.own = stored(_first(nodes.where("local IS NOT NULL").select("file", F.col("local").alias("name"), F.col("id").alias("decl"), "seq"), ["file", "name"]))
         binds = found.where("fact = 'bind'").join(targets, ["file", "a"]).select("file", F.col("local").alias("name"), "target", F.col("b").alias("wanted"))
         again = found.where("fact = 'reexport'").join(targets, ["file", "a"]).select("file", "name", "target", F.col("b").alias("wanted"))
-        self.spaces = settle(binds.where("wanted = '*'").select("file", "name", "target"))
+        self.spaces = stored(binds.where("wanted = '*'").select("file", "name", "target"))
         listed = found.where("fact = 'publish'").select("file", "name", "local")
         direct = nodes.where("publish IS NOT NULL").select("file", F.col("publish").alias("name"), F.col("id").alias("decl"), "seq")
         from_list = listed.join(self.own.select("file", F.col("name").alias("local"), "decl"), ["file", "local"]).select("file", "name", "decl", F.lit(0).cast("bigint").alias("seq"))
-        public = settle(_first(direct.unionByName(from_list), ["file", "name"]))
+        public = stored(_first(direct.unionByName(from_list), ["file", "name"]))
         # links: what a file publishes of another; a star's own names stay as they are
         named = again.where("wanted <> '*'").unionByName(listed.join(binds.where("wanted <> '*'").withColumnRenamed("name", "local"), ["file", "local"]).select("file", "name", "target", "wanted"))
         stars = again.where("wanted = '*' AND name = '*'").select("file", "target")
-        named, stars = settle(named), settle(stars)
+        named, stars = stored(named), stored(stars)
         size = public.count()
         for _ in range(_LONGEST_CHAIN):
             there = public.select(F.col("file").alias("target"), F.col("name").alias("wanted"), "decl")
             more = named.join(there, ["target", "wanted"]).select("file", "name", "decl")
             wild = stars.join(there.where("wanted <> 'default'"), "target").select("file", F.col("wanted").alias("name"), "decl")
             more = more.withColumn("rank", F.lit(1)).unionByName(wild.withColumn("rank", F.lit(2)))
-            public = settle(public.withColumn("rank", F.lit(0)).unionByName(more).groupBy("file", "name").agg(F.min(F.struct("rank", "decl")).alias("m")).select("file", "name", "m.decl"))
+            public = stored(public.withColumn("rank", F.lit(0)).unionByName(more).groupBy("file", "name").agg(F.min(F.struct("rank", "decl")).alias("m")).select("file", "name", "m.decl"))
             if (now := public.count()) == size:
                 break
             size = now
         self.public = public
         imported = binds.where("wanted <> '*'").join(public.select(F.col("file").alias("target"), F.col("name").alias("wanted"), "decl"), ["target", "wanted"]).select("file", "name", "decl")
         both = self.own.withColumn("rank", F.lit(0)).unionByName(imported.withColumn("rank", F.lit(1)))
-        self.bound = settle(both.groupBy("file", "name").agg(F.min(F.struct("rank", "decl")).alias("m")).select("file", "name", "m.decl"))
-        self.members = settle(_first(found.where("fact = 'member'").select(F.col("a").alias("owner"), "name", F.col("id").alias("decl"), "seq"), ["owner", "name"]))
-        self.properties = settle(_first(found.where("fact = 'property'").select(F.col("id").alias("owner"), "name", "type", "seq"), ["owner", "name"], "type"))
+        self.bound = stored(both.groupBy("file", "name").agg(F.min(F.struct("rank", "decl")).alias("m")).select("file", "name", "m.decl"))
+        self.members = stored(_first(found.where("fact = 'member'").select(F.col("a").alias("owner"), "name", F.col("id").alias("decl"), "seq"), ["owner", "name"]))
+        self.properties = stored(_first(found.where("fact = 'property'").select(F.col("id").alias("owner"), "name", "type", "seq"), ["owner", "name"], "type"))
         heritage = found.where("fact = 'heritage'").select("file", F.col("id").alias("child"), "kind", "how", "a", "b", "seq")
-        self.heritage = settle(self.mean(heritage).select("file", "child", "kind", F.col("decl").alias("base"), "seq"))
+        self.heritage = stored(self.mean(heritage).select("file", "child", "kind", F.col("decl").alias("base"), "seq"))
         of_class = self.heritage.where("kind = 'EXTENDS'")
-        self.bases = settle(_first(of_class, ["child"], "base"))
+        self.bases = stored(_first(of_class, ["child"], "base"))
 
     def by_name(self, df: DataFrame, name: str = "a", out: str = "decl") -> DataFrame:
         return df.join(self.bound.select("file", F.col("name").alias(name), F.col("decl").alias(out)), ["file", name])
@@ -132,13 +143,13 @@ class Names:
     def member_of(self, df: DataFrame, member: str) -> DataFrame:
         """``decl``: the ``member`` of class ``owner``, or of its nearest base that has it."""
         keep = [c for c in df.columns if c != "owner"]
-        pending, done = settle(df), None
+        pending, done = stored(df), None
         members = self.members.select("owner", F.col("name").alias(member), "decl")
         for _ in range(_LONGEST_CHAIN):
             hit = pending.join(members, ["owner", member]).select(*keep, "decl")
             done = hit if done is None else done.unionByName(hit)
             missed = pending.join(members, ["owner", member], "left_anti")
-            pending = settle(missed.withColumnRenamed("owner", "child").join(self.bases, "child").select(*keep, F.col("base").alias("owner")))
+            pending = stored(missed.withColumnRenamed("owner", "child").join(self.bases, "child").select(*keep, F.col("base").alias("owner")))
             if pending.isEmpty():
                 break
         return done
@@ -179,11 +190,17 @@ def _edges(df: DataFrame, kind: Column | str, src: str, dst: str, phase: int) ->
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), kind.alias("kind"), F.lit(None).cast("string").alias("specifier"), F.lit(phase).alias("phase"), "file", "seq")
 
 
-def raw_graph(files: DataFrame, semantic: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) before repeats are folded, for ``files`` (path, text)."""
-    files = project_files(files)
-    found = settle(read_facts(files))
-    targets = settle(_targets(found.where("fact IN ('import', 'bind', 'reexport')"), files))
+def _routes(found: DataFrame) -> DataFrame:
+    return found.where("fact = 'endpoint'").select("file", "seq", "id", "name", "how", "a", "b", "c", "start_line", "end_line", "exported", "metadata")
+
+
+def raw_graph(files: DataFrame, semantic: bool = False, links: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes, edges) before repeats are folded, for ``files`` (path, text). Without
+    ``links`` there are no edges, and what names mean is found for routes alone, if
+    there are any."""
+    files = stored(project_files(files).select("path", "text"))
+    found = stored(read_facts(files))
+    targets = stored(_targets(found.where("fact IN ('import', 'bind', 'reexport')"), files))
     node = lambda df, ident, kind, name, path, phase: df.select(ident.alias("id"), kind.alias("kind"), name.alias("name"), path.alias("file_path"), F.coalesce("exported", F.lit(False)).alias("exported"), F.coalesce("start_line", F.lit(0)).cast("bigint").alias("start_line"), F.coalesce("end_line", F.lit(0)).cast("bigint").alias("end_line"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), F.lit(phase).alias("phase"), "file", "seq")
     own = found.where("fact = 'node'")
     imports = found.where("fact = 'import'").join(targets, ["file", "a"], "left")
@@ -192,6 +209,8 @@ def raw_graph(files: DataFrame, semantic: bool = False) -> tuple[DataFrame, Data
     nodes = nodes.unionByName(node(imports.where("target IS NULL"), F.concat(F.lit("External:"), F.col("a")), F.lit("ExternalModule"), F.col("a"), F.col("a"), 0))
     nodes = nodes.unionByName(node(flags, F.concat(F.lit("Config:"), F.col("name")), F.lit("ConfigFlag"), F.col("name"), F.lit("process.env"), 0))
     nodes = nodes.unionByName(node(apis, F.concat(F.lit("Api:"), F.col("name")), F.lit("ExternalAPI"), F.col("name"), F.col("name"), 0))
+    if not links and (not semantic or _routes(found).isEmpty()):
+        return nodes, None
     edges = imports.select(F.concat(F.lit("Module:"), F.col("file")).alias("src"), F.coalesce(F.concat(F.lit("Module:"), F.col("target")), F.concat(F.lit("External:"), F.col("a"))).alias("dst"), F.lit("IMPORTS").alias("kind"), F.col("a").alias("specifier"), F.lit(0).alias("phase"), "file", "seq")
     edges = edges.unionByName(_edges(own.where("parent IS NOT NULL"), "CONTAINS", "parent", "id", 0))
     edges = edges.unionByName(_edges(own.where("exported").withColumn("module", F.concat(F.lit("Module:"), F.col("file"))), "EXPORTS", "module", "id", 0))
@@ -201,20 +220,21 @@ def raw_graph(files: DataFrame, semantic: bool = False) -> tuple[DataFrame, Data
         return nodes, edges
     names = Names(found, targets)
     kinds = names.decls.select("decl", "syntax", F.col("function").alias("is_function"))
-    uses = found.where("fact = 'use'").select("file", "seq", "id", "kind", "how", "a", "b", "c")
-    meant = names.targets(uses).join(kinds, "decl")
-    right = (
-        ((F.col("kind") == "CALLS") & F.col("syntax").isin(*_CALLABLE)) | ((F.col("kind") == "INSTANTIATES") & (F.col("syntax") == "ClassDeclaration"))
-        | (F.col("kind").isin("READS", "WRITES") & F.col("syntax").isin(*_VALUES) & (F.col("id") != F.col("decl"))) | (F.col("kind").isin("USES_TYPE", "RETURNS", "PARAM_TYPE") & F.col("syntax").isin(*_TYPES))
-    )
-    edges = edges.unionByName(_edges(meant.where(right), F.col("kind"), "id", "decl", 1))
-    heritage = names.heritage.join(kinds, names.heritage["base"] == kinds["decl"]).where(F.col("syntax").isin("ClassDeclaration", "InterfaceDeclaration", "TypeAliasDeclaration"))
-    edges = edges.unionByName(_edges(heritage, F.col("kind"), "child", "base", 1))
-    edges = edges.unionByName(_edges(_overrides(names, found), "OVERRIDES", "id", "decl", 1))
-    routes = found.where("fact = 'endpoint'").select("file", "seq", "id", "name", "how", "a", "b", "c", "start_line", "end_line", "exported", "metadata")
+    if links:
+        uses = found.where("fact = 'use'").select("file", "seq", "id", "kind", "how", "a", "b", "c")
+        meant = names.targets(uses).join(kinds, "decl")
+        right = (
+            ((F.col("kind") == "CALLS") & F.col("syntax").isin(*_CALLABLE)) | ((F.col("kind") == "INSTANTIATES") & (F.col("syntax") == "ClassDeclaration"))
+            | (F.col("kind").isin("READS", "WRITES") & F.col("syntax").isin(*_VALUES) & (F.col("id") != F.col("decl"))) | (F.col("kind").isin("USES_TYPE", "RETURNS", "PARAM_TYPE") & F.col("syntax").isin(*_TYPES))
+        )
+        edges = edges.unionByName(_edges(meant.where(right), F.col("kind"), "id", "decl", 1))
+        heritage = names.heritage.join(kinds, names.heritage["base"] == kinds["decl"]).where(F.col("syntax").isin("ClassDeclaration", "InterfaceDeclaration", "TypeAliasDeclaration"))
+        edges = edges.unionByName(_edges(heritage, F.col("kind"), "child", "base", 1))
+        edges = edges.unionByName(_edges(_overrides(names, found), "OVERRIDES", "id", "decl", 1))
+    routes = _routes(found)
     handled = names.targets(routes).join(kinds, "decl").where(F.col("syntax").isin("FunctionDeclaration", "MethodDeclaration") | ((F.col("syntax") == "VariableDeclaration") & F.col("is_function")))
     nodes = nodes.unionByName(node(routes.where("how = 'inline'").unionByName(handled.select(*routes.columns)), F.col("id"), F.lit("Endpoint"), F.col("name"), F.col("file"), 1))
-    return nodes, edges.unionByName(_edges(handled, "HANDLES", "id", "decl", 1))
+    return nodes, edges.unionByName(_edges(handled, "HANDLES", "id", "decl", 1)) if links else None
 
 
 def _overrides(names: Names, found: DataFrame) -> DataFrame:
@@ -235,14 +255,31 @@ def build(files: DataFrame, semantic: bool = False) -> Graph:
     empty files; files that aren't TypeScript sources, declaration files and installed
     packages are left out; no files make an empty graph."""
     nodes, edges = raw_graph(files, semantic)
-    place = F.struct("phase", "file", "seq")
+    return Graph.of(_folded(nodes), _counted(edges))
+
+
+def build_nodes(files: DataFrame, semantic: bool = False) -> DataFrame:
+    """The nodes of ``build``, without the work that only edges need."""
+    return _folded(raw_graph(files, semantic, links=False)[0])
+
+
+def build_edges(files: DataFrame, semantic: bool = False) -> DataFrame:
+    """The edges of ``build``, without putting the nodes in order."""
+    return _counted(raw_graph(files, semantic)[1])
+
+
+def _folded(nodes: DataFrame) -> DataFrame:
     columns = ["kind", "name", "file_path", "exported", "start_line", "end_line", "metadata"]
+    place = F.struct("phase", "file", "seq")
     folded = nodes.groupBy("id").agg(F.max_by(F.struct(*columns), place).alias("s"), F.max(place).alias("at"))
-    folded = folded.select(F.xxhash64("id").alias("seq"), "id", "s.*", "at")
+    return _numbered(folded.select(F.xxhash64("id").alias("seq"), "id", "s.*", "at")).select(*NODE_COLUMNS)
+
+
+def _counted(edges: DataFrame) -> DataFrame:
+    place = F.struct("phase", "file", "seq")
     counted = edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("count"), F.min_by(F.struct("specifier"), place).alias("m"), F.min(place).alias("at"))
     metadata = F.to_json(F.struct(F.col("m.specifier").alias("specifier"), "count"))
-    links = counted.select("src", "dst", "kind", metadata.alias("metadata"), "at")
-    return Graph.of(_numbered(folded).select(*NODE_COLUMNS), _numbered(links).select(*EDGE_COLUMNS))
+    return _numbered(counted.select("src", "dst", "kind", metadata.alias("metadata"), "at")).select(*EDGE_COLUMNS)
 
 
 def _numbered(df: DataFrame) -> DataFrame:
